@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier in numpy.
 
-Words (letters and digits, ASCII lower-cased) get the sum of two hashed embeddings;
-filters of one, two and three words, max pooling over the whole text, and a logistic
+Words (letters and digits, ASCII lower-cased) get the sum of four hashed embeddings,
+two of the whole word and two of its first STEM characters, so that inflected forms
+share what was learned; filters of one, two and three words, max pooling over the whole text, and a logistic
 output.  It is trained on the driver with Adagrad on a bounded sample: at most SAMPLE
 labelled rows, as many of either label, chosen by a hash of doc_id.  A part kept back
 gives a threshold for each language, where the language is a guess from the text's
@@ -27,22 +28,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_of_id, pick, read_table
-from .kernels import ALNUM_WORD, LOWER, U64, prefix_sums, row_slices, span_hashes, text_buffers, words
+from .kernels import ALNUM_WORD, LOWER, U64, mix, prefix_sums, row_slices, span_hashes, text_buffers, words
 from .op02_langid import sample
 
 SAMPLE = 8000
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
-EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.1, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.1, 1e-4
+#: Characters of a word's stem.
+STEM = 4
 #: Kept-back rows of a language with label 1 that its own threshold needs.
 FEW = 20
 
 
-def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two table rows for each word, and the words' texts."""
+def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four table rows for each word (4, words), and the words' rows."""
     low = LOWER[data]
     ws, we, row = words(low, offsets, ALNUM_WORD)
-    h = span_hashes(prefix_sums(low), ws, we)
-    return (h >> U64(64 - BITS)).astype(np.int64), (h >> U64(8) & U64((1 << BITS) - 1)).astype(np.int64), row
+    heads = np.flatnonzero((low & 0xC0) != 0x80)
+    stem = np.append(heads, [len(low)] * STEM)[np.searchsorted(heads, ws) + STEM]
+    sums = prefix_sums(low)
+    out = np.empty((4, len(ws)), np.int32)
+    for k, end in ((0, we), (2, np.minimum(stem, we))):
+        h = mix(span_hashes(sums, ws, end) + U64(k))
+        out[k], out[k + 1] = h >> U64(64 - BITS), h >> U64(8) & U64((1 << BITS) - 1)
+    return out, row
 
 
 @dataclass
@@ -57,9 +66,9 @@ class Model:
     lang_prior: np.ndarray | None = None
     thresholds: np.ndarray | None = None
 
-    def pooled(self, a: np.ndarray, b: np.ndarray, row: np.ndarray, n: int):
+    def pooled(self, idx: np.ndarray, row: np.ndarray, n: int):
         """Max of each filter over each text (0 where it has no window), and where it is."""
-        e = self.table[a] + self.table[b]
+        e = self.table[idx[0]] + self.table[idx[1]] + self.table[idx[2]] + self.table[idx[3]]
         out, at = [], []
         for w, c in zip(self.filters, self.bias, strict=True):
             k = len(w)
@@ -84,18 +93,18 @@ class Model:
 
     training = False
 
-    def logits(self, a, b, row, n) -> np.ndarray:
-        return self.pooled(a, b, row, n)[1] @ self.out + self.out_bias
+    def logits(self, idx, row, n) -> np.ndarray:
+        return self.pooled(idx, row, n)[1] @ self.out + self.out_bias
 
-    def guess(self, a: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    def guess(self, idx: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """Index of the likeliest language of each text."""
-        s = np.stack([np.bincount(row, self.lang_table[a, k], minlength=n) for k in range(len(self.langs))], 1)
+        s = np.stack([np.bincount(row, self.lang_table[idx[0], k], minlength=n) for k in range(len(self.langs))], 1)
         return (s + self.lang_prior).argmax(1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        a, b, row = hashed(data, offsets)
+        idx, row = hashed(data, offsets)
         n = len(offsets) - 1
-        z = self.logits(a, b, row, n) - self.thresholds[self.guess(a, row, n)]
+        z = self.logits(idx, row, n) - self.thresholds[self.guess(idx, row, n)]
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -111,7 +120,7 @@ def fit(rows: list[tuple[int, int, str, str | None]]) -> Model | None:
         return None
     rng = np.random.default_rng(3)
     m = Model(np.zeros((1 << BITS, DIM), np.float32), [rng.normal(0, 0.5, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS], [np.full(FILTERS, 0.05, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0)
-    encoded = [_encode([r[2]])[:2] for r in rows]
+    encoded = [_encode([r[2]])[0] for r in rows]
     y = np.array([r[1] for r in rows], np.float32)
     kept = np.array([zlib.crc32(f"calibrate {r[0]}".encode()) % 5 == 0 for r in rows])
     own = np.flatnonzero(~kept)
@@ -125,9 +134,9 @@ def fit(rows: list[tuple[int, int, str, str | None]]) -> Model | None:
         order = rng.permutation(own)
         for s in range(0, len(order), BATCH):
             part = order[s : s + BATCH]
-            a, b = (np.concatenate([encoded[i][k] for i in part]) for k in (0, 1))
-            row = np.repeat(np.arange(len(part)), [len(encoded[i][0]) for i in part])
-            e, x, at = m.pooled(a, b, row, len(part))
+            words_ = np.concatenate([encoded[i] for i in part], 1)
+            row = np.repeat(np.arange(len(part)), [encoded[i].shape[1] for i in part])
+            e, x, at = m.pooled(words_, row, len(part))
             z = x @ m.out + m.out_bias
             d = (1 / (1 + np.exp(-z)) - y[part]) / len(part)
             gx = d[:, None] * m.out
@@ -154,22 +163,21 @@ def fit(rows: list[tuple[int, int, str, str | None]]) -> Model | None:
             m.out_bias -= rate * float(d.sum()) / bias_sum**0.5
             if place:
                 pos, g = np.concatenate(place), np.concatenate(ge)
-                idx = np.concatenate([a[pos], b[pos]])
-                u, inv = np.unique(idx, return_inverse=True)
+                u, inv = np.unique(words_[:, pos].ravel(), return_inverse=True)
                 gu = np.zeros((len(u), DIM), np.float32)
-                np.add.at(gu, inv, np.concatenate([g, g]))
+                np.add.at(gu, inv, np.tile(g, (4, 1)))
                 table_sum[u] += (gu * gu).mean(1, keepdims=True)
                 m.table[u] -= rate * gu / np.sqrt(table_sum[u])
     m.training = False
     m.langs = sorted({r[3] or "" for r in rows})
     counts = np.full((1 << BITS, len(m.langs)), 0.1, np.float32)
-    for (a, _), r in zip(encoded, rows, strict=True):
-        np.add.at(counts[:, m.langs.index(r[3] or "")], a, 1)
+    for own_words, r in zip(encoded, rows, strict=True):
+        np.add.at(counts[:, m.langs.index(r[3] or "")], own_words[0], 1)
     m.lang_table = np.log(counts / counts.sum(0))
     m.lang_prior = np.log(np.array([sum((r[3] or "") == x for r in rows) for x in m.langs]) / len(rows))
     held = np.flatnonzero(kept)
-    z = np.array([m.logits(*encoded[i], np.zeros(len(encoded[i][0]), int), 1)[0] for i in held])
-    lang = np.array([m.guess(encoded[i][0], np.zeros(len(encoded[i][0]), int), 1)[0] for i in held])
+    z = np.array([m.logits(encoded[i], np.zeros(encoded[i].shape[1], int), 1)[0] for i in held])
+    lang = np.array([m.guess(encoded[i], np.zeros(encoded[i].shape[1], int), 1)[0] for i in held])
     base = _threshold(z, y[held])
     m.thresholds = np.array([_threshold(z[lang == k], y[held][lang == k]) if min(y[held][lang == k].sum(), (lang == k).sum() - y[held][lang == k].sum()) >= FEW else base for k in range(len(m.langs))])
     return m

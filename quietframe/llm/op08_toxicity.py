@@ -67,13 +67,14 @@ class Model:
     thresholds: np.ndarray | None = None
 
     def pooled(self, idx: np.ndarray, row: np.ndarray, n: int):
-        """Max of each filter over each text (0 where it has no window), and where it is."""
+        """Max of each filter over each text (that of unknown words where it has no
+        window), and where it is."""
         e = self.table[idx[0]] + self.table[idx[1]] + self.table[idx[2]] + self.table[idx[3]]
         out, at = [], []
         for w, c in zip(self.filters, self.bias, strict=True):
             k = len(w)
             m = len(e) - k + 1
-            top, arg = np.zeros((n, FILTERS), np.float32), np.full((n, FILTERS), -1)
+            top, arg = np.tile(np.maximum(c, 0), (n, 1)), np.full((n, FILTERS), -1)
             if m > 0:
                 s = e[:m] @ w[0]
                 for i in range(1, k):

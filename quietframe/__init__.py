@@ -1 +1,15 @@
 """quietframe: differentially private analytics on Spark DataFrames."""
+
+from .budgets import ApproxDPBudget, PureDPBudget, RhoZCDPBudget
+from .builder import QueryBuilder
+from .functions.binning import BinningSpec
+from .keys import KeySet
+from .plans.nodes import Mechanism
+from .protection import AddMaxRows, AddMaxRowsInMaxGroups, AddOneRow, AddRowsWithID, MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsPerID, TruncationStrategy
+from .schema import ColumnDescriptor, ColumnType
+from .session import Config, Session, check_installation
+
+__all__ = [
+    "AddMaxRows", "AddMaxRowsInMaxGroups", "AddOneRow", "AddRowsWithID", "ApproxDPBudget", "BinningSpec", "ColumnDescriptor", "ColumnType", "Config", "KeySet",
+    "MaxGroupsPerID", "MaxRowsPerGroupPerID", "MaxRowsPerID", "Mechanism", "PureDPBudget", "QueryBuilder", "RhoZCDPBudget", "Session", "TruncationStrategy", "check_installation",
+]

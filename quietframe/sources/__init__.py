@@ -1,0 +1,5 @@
+"""Readers of tables."""
+
+from .tables import load
+
+__all__ = ["load"]

@@ -321,7 +321,6 @@ class Session:
                 raise ValueError("parts are made by an integer or text column")
             if any(not kind.accepts(v) for v in splits.values()):
                 raise ValueError(f"a part's value must be {kind.value}")
-            zcdp = isinstance(self._left, RhoZCDPBudget)
             rest = tuple(c for c in f.constraints if not (isinstance(c, MaxGroupsPerID) and c.grouping_column == column))
             factor = Fraction(1)
             if f.ids:
@@ -342,9 +341,8 @@ class Session:
             budget = self._asked(privacy_budget)
             self._active()
             self._debit(budget)
-            # One unit can be in `factor` parts, so each part has that share (its root under zCDP) of the budget.
+            # One unit can be in `factor` parts, so each part has that share of the budget.
             own = budget if factor == 1 else budget / factor
-            del zcdp
             out = {}
             for name, v in splits.items():
                 c = Catalog()

@@ -4,12 +4,17 @@ from .budgets import ApproxDPBudget, PureDPBudget, RhoZCDPBudget
 from .builder import QueryBuilder
 from .functions.binning import BinningSpec
 from .keys import KeySet
-from .plans.nodes import Mechanism
+from .plans.nodes import Mechanism, Query
 from .protection import AddMaxRows, AddMaxRowsInMaxGroups, AddOneRow, AddRowsWithID, MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsPerID, TruncationStrategy
 from .schema import ColumnDescriptor, ColumnType
 from .session import Config, Session, check_installation
+from .utils import cleanup, remove_all_temp_tables
+
+#: One family of noise for each aggregate.
+CountMechanism = CountDistinctMechanism = SumMechanism = AverageMechanism = VarianceMechanism = StdevMechanism = Mechanism
 
 __all__ = [
     "AddMaxRows", "AddMaxRowsInMaxGroups", "AddOneRow", "AddRowsWithID", "ApproxDPBudget", "BinningSpec", "ColumnDescriptor", "ColumnType", "Config", "KeySet",
-    "MaxGroupsPerID", "MaxRowsPerGroupPerID", "MaxRowsPerID", "Mechanism", "PureDPBudget", "QueryBuilder", "RhoZCDPBudget", "Session", "TruncationStrategy", "check_installation",
+    "MaxGroupsPerID", "MaxRowsPerGroupPerID", "MaxRowsPerID", "Mechanism", "PureDPBudget", "Query", "QueryBuilder", "RhoZCDPBudget", "Session", "TruncationStrategy", "check_installation", "cleanup", "remove_all_temp_tables",
+    "CountMechanism", "CountDistinctMechanism", "SumMechanism", "AverageMechanism", "VarianceMechanism", "StdevMechanism",
 ]

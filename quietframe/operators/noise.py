@@ -107,6 +107,28 @@ def draw(spec: NoiseSpec) -> Fraction:
     return discrete_gaussian(Fraction(spec.parameter) / g**2) * g
 
 
+def inverse_cdf(spec: NoiseSpec, p: float) -> float:
+    """The value that noise doesn't exceed with probability p."""
+    if not 0 < p < 1:
+        raise ValueError("a probability between 0 and 1 is needed")
+    if spec.none:
+        return 0.0
+    b = float(spec.parameter)
+    if spec.kind is Noise.LAPLACE:
+        return b * math.log(2 * p) if p < 0.5 else -b * math.log(2 * (1 - p))
+    if spec.kind is Noise.GEOMETRIC:
+        a = math.exp(-1 / b)
+        if p < a / (1 + a):  # P(X <= k) = a ** -k / (1 + a) for k < 0
+            return float(math.ceil(-math.log(p * (1 + a)) / math.log(a) - 1e-12))
+        return float(max(0, math.ceil(math.log((1 - p) * (1 + a)) / math.log(a) - 1 - 1e-12)))
+    if spec.kind in (Noise.GAUSSIAN, Noise.DISCRETE_GAUSSIAN):
+        from statistics import NormalDist
+
+        x = NormalDist(0, math.sqrt(b)).inv_cdf(p)
+        return x if spec.kind is Noise.GAUSSIAN else float(round(x))
+    raise ValueError("the exponential mechanism has no distribution of its own")
+
+
 def add_noise(df: DataFrame, specs: dict[str, NoiseSpec]) -> DataFrame:
     """Noise on columns of an aggregated frame (a row a group); long and double columns.
     Draws are fresh in each task; the caller materializes the frame once."""

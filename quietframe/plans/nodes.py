@@ -174,3 +174,7 @@ class Query:
         if isinstance(threshold, bool) or not isinstance(threshold, (int, float)):
             raise TypeError("the threshold must be a number")
         return replace(self, threshold=threshold)
+
+    def _is_equivalent(self, other) -> bool:
+        """Structural equality; key sets are compared by content."""
+        return isinstance(other, Query) and self == other

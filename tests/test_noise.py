@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from quietframe.operators.noise import Noise, NoiseSpec, discrete_gaussian, discrete_laplace, draw, grid, noisy_prefix, quantile_draw
+from quietframe.operators.noise import Noise, NoiseSpec, discrete_gaussian, discrete_laplace, draw, grid, inverse_cdf, noisy_prefix, quantile_draw
 
 
 def moments(draws):
@@ -55,3 +55,13 @@ def test_bounds():
     none = NoiseSpec(Noise.NONE, 0)
     assert noisy_prefix({0: 1}, none) == 0 and noisy_prefix({4: 2}, none) == 4 and noisy_prefix({}, none) == 0
     assert noisy_prefix({0: 95, 9: 5}, none) == 0
+
+
+def test_inverse_cdf():
+    a = math.exp(-1 / 3)
+    cdf = lambda k: a ** -k / (1 + a) if k < 0 else 1 - a ** (k + 1) / (1 + a)
+    for p in (0.01, 0.2, 0.5, 0.8, 0.975):
+        k = inverse_cdf(NoiseSpec(Noise.GEOMETRIC, Fraction(3)), p)
+        assert cdf(k) >= p - 1e-9 and cdf(k - 1) < p
+    assert abs(inverse_cdf(NoiseSpec(Noise.LAPLACE, Fraction(2)), 0.975) - 2 * math.log(20)) < 1e-9
+    assert abs(inverse_cdf(NoiseSpec(Noise.GAUSSIAN, Fraction(4)), 0.975) - 3.92) < 0.01

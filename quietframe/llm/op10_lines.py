@@ -43,6 +43,7 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pick(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     rows = rows.select("doc_id", "th", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least)
     rows = rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "th", "pos")
+    rows = materialize(rows, "line-hashes")  # sampled for ranges and read twice
     ranged = rows.repartitionByRange(n, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
     run = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos")
     seen = ranged.withColumn("first", F.first("doc_id").over(run)).withColumn("nth", F.row_number().over(run))

@@ -76,9 +76,9 @@ def nodes(vecs: DataFrame) -> DataFrame:
     return vecs.groupBy("embedding").agg(F.min("vec_id").alias("id")).select("id", "embedding").mapInArrow(pack, "id long, vec binary")
 
 
-def first_graph(table: DataFrame, dim: int, k: int) -> DataFrame:
+def first_graph(table: DataFrame, dim: int, k: int, size: int) -> DataFrame:
     """Lists from blocks on PROJECTIONS random projections."""
-    n = default_partitions(table.sparkSession)
+    n = max(1, min(default_partitions(table.sparkSession), size // BLOCK) if size < BLOCK * 4096 else size // (8 * BLOCK))
     rng = np.random.default_rng(17)
     out = None
     for _ in range(PROJECTIONS):
@@ -113,12 +113,12 @@ def first_graph(table: DataFrame, dim: int, k: int) -> DataFrame:
         dealt = table.mapInArrow(project, "id long, vec binary, p float").repartitionByRange(n, "p").sortWithinPartitions("p")
         got = dealt.mapInArrow(block, _LISTS)
         out = got if out is None else out.union(got)
-    return merge(out, k)
+    return merge(out, k, size)
 
 
-def merge(lists: DataFrame, k: int) -> DataFrame:
-    """One list a node: the k nearest of all of its lists (each of at most k, a bounded
-    number for each node: those of projections, and of the meetings it was at)."""
+def merge(lists: DataFrame, k: int, n: int) -> DataFrame:
+    """One list a node (there are n): the k nearest of all of its lists (each of at most k,
+    a bounded number for each node: those of projections, and of the meetings it was at)."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, sims = (np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()]) for c, d in (("ids", np.int64), ("sims", np.float32)))
@@ -131,7 +131,7 @@ def merge(lists: DataFrame, k: int) -> DataFrame:
             rows.append((int(own[x]), *_top(ids[x:y], sims[x:y], k)))
         return pa.Table.from_batches([_lists(rows)])
 
-    parts = 16 * default_partitions(lists.sparkSession)
+    parts = max(default_partitions(lists.sparkSession), n // 2000)
     return lists.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("_part").applyInArrow(run, _LISTS)
 
 
@@ -150,7 +150,7 @@ def _exploded(graph: DataFrame) -> DataFrame:
     return graph.mapInArrow(run, "id long, other long, sim float, rank int")
 
 
-def descend(graph: DataFrame, table: DataFrame, k: int, seed: int) -> DataFrame:
+def descend(graph: DataFrame, table: DataFrame, k: int, seed: int, size: int) -> DataFrame:
     """One round: the news of all meetings, and what each node had."""
     e = materialize(_exploded(graph).withColumn("draw", F.xxhash64(F.lit(seed), "id", "other")), "ann-edges")
     # Half of those that meet are the nearest, half are drawn: both ways, bounded for hubs too.
@@ -159,7 +159,7 @@ def descend(graph: DataFrame, table: DataFrame, k: int, seed: int) -> DataFrame:
     worst = graph.select("id", F.conv(F.hex(F.reverse(F.substring("sims", -4, 4))), 16, 10).cast("long").alias("_bits"), F.octet_length("sims").alias("_n"))
     lean = table.join(worst, "id", "left").select(F.col("id").alias("who"), "vec", (F.col("_n") >= 4 * k).alias("full"), F.col("_bits").alias("bits"))
     meet = ahead.union(back).distinct().join(lean, "who")
-    meet = meet.withColumn("part", F.pmod(F.xxhash64("at"), F.lit(64 * default_partitions(graph.sparkSession))))
+    meet = meet.withColumn("part", F.pmod(F.xxhash64("at"), F.lit(max(default_partitions(graph.sparkSession), size * 2 * MEET // 40_000))))
 
     def run(t: pa.Table) -> pa.Table:
         at = np.array(t.column("at").to_pylist(), np.int64)
@@ -183,13 +183,14 @@ def descend(graph: DataFrame, table: DataFrame, k: int, seed: int) -> DataFrame:
         return pa.Table.from_batches([_lists(rows)])
 
     news = meet.groupBy("part").applyInArrow(run, _LISTS)
-    return materialize(merge(graph.union(news), k), "ann-graph")
+    return materialize(merge(graph.union(news), k, size), "ann-graph")
 
 
 def neighbour_graph(table: DataFrame, dim: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    graph = materialize(first_graph(table, dim, k), "ann-graph")
+    size = table.count()
+    graph = materialize(first_graph(table, dim, k, size), "ann-graph")
     for r in range(rounds):
-        graph = descend(graph, table, k, r)
+        graph = descend(graph, table, k, r, size)
     return graph
 
 
@@ -199,6 +200,7 @@ def search(queries: DataFrame, graph: DataFrame, table: DataFrame, beam: int = B
     mine = graph.join(queries, "id")
     state = materialize(mine.select(F.col("id").alias("q"), "ids", "sims", F.lit(b"").alias("done")), "ann-search")
     schema = "q long, ids binary, sims binary, done binary"
+    parts = max(default_partitions(graph.sparkSession), queries.count() // 200)
     for _ in range(STEPS):
 
         def frontier(batches):
@@ -245,7 +247,7 @@ def search(queries: DataFrame, graph: DataFrame, table: DataFrame, beam: int = B
 
         heads = state.join(q, "q").select("q", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("c"), F.col("qvec").alias("vec"), "ids", "sims", "done")
         empty = F.lit(None).cast("binary")
-        both = heads.union(found.select("q", F.lit(1), "c", "vec", empty, empty, empty)).withColumn("part", F.pmod(F.xxhash64("q"), F.lit(4 * default_partitions(graph.sparkSession))))
+        both = heads.union(found.select("q", F.lit(1), "c", "vec", empty, empty, empty)).withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
         state = materialize(both.groupBy("part").applyInArrow(score, schema), "ann-search")
     return state.select(F.col("q").alias("id"), "ids", "sims")
 

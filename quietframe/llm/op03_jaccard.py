@@ -41,12 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import default_partitions, materialize, pick, read_table, salted_lookup
 from .components import components
-from .kernels import LOWER, SPACE_WORD, U64, gram_hashes, mix, prefix_sums, row_slices, span_hashes, text_buffers, words
+from .kernels import LOWER, SPACE_WORD, U64, gram_hashes, mix, prefix_sums, row_slices, span_hashes, text_buffers, trim, words
 
 K, PERCENT = 5, 80
 RADIUS = 1 - PERCENT / 100
 #: Members of a cell that one task joins; n-grams in a chunk; counted n-grams in a bucket.
-CELL, CHUNK, BUCKET = 512, 1 << 19, 1 << 20
+CELL, CHUNK, BUCKET = 2048, 1 << 19, 1 << 20
 #: Levels of splitting by pivots before pairs of blocks.
 DEPTH = 6
 
@@ -108,6 +108,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             rows = [(i, len(s), *set_hash(s)) for i, s in _sets(b)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "n", "h1", "h2"])
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
@@ -122,10 +123,12 @@ def known_elsewhere(docs: DataFrame, buckets: int) -> DataFrame:
     n-gram, which can only make more of them known."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         toks: list[np.ndarray] = []
         ids: list[int] = []
         lens: list[int] = []
-        n = 0
+        n, chunk = 0, TaskContext.get().partitionId() << 32
 
         def flush():
             t, d = np.concatenate(toks), np.repeat(np.array(ids, np.int64), lens)
@@ -136,17 +139,19 @@ def known_elsewhere(docs: DataFrame, buckets: int) -> DataFrame:
             # A document's n-grams are distinct, but one doc_id can stand twice.
             dup = np.repeat(size > 1, size)
             u, c = np.unique(d[dup], return_counts=True)
-            out = [(-1, b"", u.tobytes(), c.astype(np.int32).tobytes())] if len(u) else []
+            out = [(-1, chunk, b"", u.tobytes(), c.astype(np.int32).tobytes())] if len(u) else []
             one, many = start[size == 1], start[size > 1]
             for at, own in ((one, True), (many, False)):
+                if not len(at):
+                    continue
                 bucket = (t[at] >> U64(32)) % U64(buckets)
                 o = np.argsort(bucket, kind="stable")
                 b, tk, dd = bucket[o].astype(np.int64), (t[at][o] & U64(0xFFFFFFFF)).astype(np.uint32), d[at][o]
                 s = _runs(b)
                 for x, y in zip(s, np.append(s[1:], len(b)), strict=True):
                     by = np.argsort(dd[x:y], kind="stable")
-                    out.append((int(b[x]), tk[x:y][by].tobytes(), dd[x:y][by].tobytes() if own else b"", b""))
-            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "toks", "ids", "counts"])
+                    out.append((int(b[x]), chunk, tk[x:y][by].tobytes(), dd[x:y][by].tobytes() if own else b"", b""))
+            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "toks", "ids", "counts"])
 
         for b in batches:
             for i, s in _sets(b):
@@ -157,37 +162,41 @@ def known_elsewhere(docs: DataFrame, buckets: int) -> DataFrame:
                     n += lens[-1]
                     if n >= 4 * CHUNK:
                         yield flush()
-                        toks, ids, lens, n = [], [], [], 0
+                        toks, ids, lens, n, chunk = [], [], [], 0, chunk + 1
         if toks:
             yield flush()
+        del toks
+        trim()
 
     def count(t: pa.Table) -> pa.Table:
-        own, many, ids = [], [], []
-        for tk, d in zip(t.column("toks").to_pylist(), t.column("ids").to_pylist(), strict=True):
-            if d:
-                own.append(np.frombuffer(tk, np.uint32))
-                ids.append(np.frombuffer(d, np.int64))
-            else:
-                many.append(np.frombuffer(tk, np.uint32))
-        own_, many_ = np.concatenate([*own, np.zeros(0, np.uint32)]), np.concatenate([*many, np.zeros(0, np.uint32)])
-        allt = np.sort(np.concatenate([own_, many_]))
-        again = np.unique(np.concatenate([allt[1:][allt[1:] == allt[:-1]], many_]))
-        known = np.isin(own_, again)
-        u, c = np.unique(np.concatenate([*ids, np.zeros(0, np.int64)])[known], return_counts=True)
-        return pa.table({"doc_id": pa.array(u, pa.int64()), "known": pa.array(c, pa.int64())})
-
-    sent = materialize(docs.mapInArrow(send, "bucket long, toks binary, ids binary, counts binary"), "prefixes")
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, c in zip(b.column("ids").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(i, np.int64)), pa.array(np.frombuffer(c, np.int32).astype(np.int64))], names=["doc_id", "known"])
-
-    schema = "doc_id long, known long"
-    spread = sent.where("bucket >= 0").select("bucket", "toks", "ids")
-    counted = spread.groupBy("bucket").applyInArrow(count, schema)
-    near = sent.where("bucket < 0").select("ids", "counts").mapInArrow(local, schema)
-    return counted.union(near).groupBy("doc_id").agg(F.sum("known").alias("known"))
+        toks = [np.frombuffer(x, np.uint32) for x in t.column("toks").to_pylist()]
+        own = t.column("own").to_pylist()
+        z = np.zeros(0, np.uint32)
+        allt = np.sort(np.concatenate([*toks, z]))
+        again = np.unique(np.concatenate([allt[1:][allt[1:] == allt[:-1]], *(x for x, o in zip(toks, own, strict=True) if not o)]))
+        flags = [np.packbits(np.isin(x, again)).tobytes() if o else b"" for x, o in zip(toks, own, strict=True)]
+        return pa.table({"bucket": t.column("bucket"), "chunk": t.column("chunk"), "own": t.column("own"), "flags": pa.array(flags, pa.binary())})
+
+    def gather(t: pa.Table) -> pa.Table:
+        """A chunk's documents with all that is known of them."""
+        got, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d, c, f in zip(*(t.column(x).to_pylist() for x in ("ids", "counts", "flags")), strict=True):
+            d = np.frombuffer(d, np.int64)
+            if c:
+                got.append(d)
+                n.append(np.frombuffer(c, np.int32).astype(np.int64))
+            elif f:
+                got.append(d[np.unpackbits(np.frombuffer(f, np.uint8), count=len(d)).astype(bool)])
+                n.append(np.ones(len(got[-1]), np.int64))
+        u, at = np.unique(np.concatenate(got), return_inverse=True)
+        return pa.table({"doc_id": pa.array(u, pa.int64()), "known": pa.array(np.bincount(at, np.concatenate(n), minlength=len(u)).astype(np.int64), pa.int64())})
+
+    sent = materialize(docs.mapInArrow(send, "bucket long, chunk long, toks binary, ids binary, counts binary"), "prefixes")
+    own = F.octet_length("ids") > 0
+    reply = sent.where("bucket >= 0").select("bucket", "chunk", "toks", own.alias("own")).groupBy("bucket").applyInArrow(count, "bucket long, chunk long, own boolean, flags binary")
+    flags = materialize(reply.where("own").select("bucket", "chunk", "flags"), "prefix-flags")
+    mine = sent.where(own).select("bucket", "chunk", "ids", "counts").join(flags, ["bucket", "chunk"], "left")
+    return mine.groupBy("chunk").applyInArrow(gather, "doc_id long, known long").groupBy("doc_id").agg(F.sum("known").alias("known"))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,6 +224,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     k, ids, sets, n = k + 1, [], [], 0
         if ids:
             yield flush()
+        del sets
+        trim()
 
     w = wanted.select("doc_id", F.col("h1").alias("_h1"))
     return docs.join(w, "doc_id").select("doc_id", "text", "_h1").mapInArrow(run, "chunk long, ids binary, lens binary, toks binary")
@@ -329,7 +340,7 @@ def split_cells(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFra
     salts = 64
     spread = members.where("rep <> pivot").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(sets.select("rep", "n", "set"), "rep")
     pivot = members.select("cell", "pivot").distinct().join(sets.select(F.col("rep").alias("pivot"), F.col("set").alias("pset")), "pivot")
-    pivot = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pivot = materialize(pivot, "jaccard-pivots").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:

@@ -1,4 +1,4 @@
-"""Shared-folder scratch tables, tokens of skew-safe lookups and small helpers."""
+"""Scratch tables in the shared folder, skew-safe lookups and small helpers."""
 
 from __future__ import annotations
 
@@ -33,13 +33,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quietframe/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and reread it: lineage ends
     there, lost executors cost nothing that was done, and Spark knows the size
-    when it plans what comes next."""
+    when it plans what comes next.  The shuffle files that led to the table are
+    not needed again and go."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,11 +110,16 @@ def open_fs(path: str):
 
 def write_file(path: str, chunks) -> int:
     """Write byte chunks to a new file of the shared folder; returns its size."""
+    from pyarrow import fs
+
     f, inner = open_fs(path)
     f.create_dir(os.path.dirname(inner), recursive=True)
-    n = 0
-    with f.open_output_stream(inner) as out:
+    local = isinstance(f, fs.LocalFileSystem)  # object stores show a file once it is whole
+    to, n = f"{inner}.{uuid.uuid4().hex}" if local else inner, 0
+    with f.open_output_stream(to) as out:
         for c in chunks:
             out.write(c)
             n += len(c)
+    if local:
+        os.replace(to, inner)
     return n

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import default_partitions, materialize, open_fs, pick, read_table, scratch_path, write_file
-from .kernels import U64, mix, powers, prefix_sums, row_slices, text_buffers
+from .kernels import U64, mix, powers, prefix_sums, row_slices, text_buffers, trim
 
 LENGTH, K = 100, 36
 #: Bytes of text in a chunk, and strings in a bucket.
@@ -151,28 +152,46 @@ def _anchors(data, offsets, buckets):
     return u[o], c[o] > 1, b, s, e
 
 
-def _candidates(data, offsets, known: np.ndarray):
-    """Round 2 of a chunk: starts of strings whose smallest K-gram is in `known`
-    (sorted), with both hashes."""
-    at, h, h2 = [], [], []
-    for part, lo, starts, small, g, sums in strings(data, offsets):
-        if not len(known):
-            continue
+def _candidates(data, offsets, buckets: int, flags) -> np.ndarray:
+    """Round 2 of a chunk: a mark at the start of each string whose smallest K-gram
+    stands elsewhere too; `flags` tells that of round 1's keys."""
+    held, got = [], []
+    for _, lo, starts, small, g, _ in strings(data, offsets):
         place = _places(small, len(g))
-        hit = np.zeros(len(g), bool)
-        p = np.minimum(np.searchsorted(known, g[place]), len(known) - 1)
-        hit[place] = known[p] == g[place]
-        own = starts[hit[small]]
+        held.append((lo, starts.astype(np.int32), small.astype(np.int32), place.astype(np.int32), g[place]))
+    u = np.unique(np.concatenate([*(x[4] for x in held), np.zeros(0, U64)]))
+    o, _, s, e = _by_bucket(u, (u >> U64(7)) % U64(buckets))
+    known = np.sort(u[o][flags((e - s).tolist())])
+    mark = np.zeros(len(data), bool)
+    for lo, starts, small, place, g in held:
+        if len(known):
+            hit = np.zeros(int(place[-1]) + 1, bool)
+            hit[place] = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+            mark[starts[hit[small]].astype(np.int64) + lo] = True
+    return mark
+
+
+def _string_hashes(data, mark: np.ndarray):
+    """Marked starts and both hashes of the strings there."""
+    at, h, h2 = [], [], []
+    for lo in range(0, len(data), 1 << 20):
+        own = np.flatnonzero(mark[lo : lo + (1 << 20)])
         if len(own):
+            part = data[lo : lo + (1 << 20) + LENGTH]
+            inv = powers(len(part) + 1)[1][own]
             at.append(own + lo)
-            inv = powers(len(sums))[1][own]
-            h.append(mix((sums[own + LENGTH] - sums[own]) * inv))
-            two = _second_sums(part)
-            h2.append(mix((two[own + LENGTH] - two[own]) * inv))
+            for sums, out in ((prefix_sums(part), h), (_second_sums(part), h2)):
+                out.append(mix((sums[own + LENGTH] - sums[own]) * inv))
     z = np.zeros(0, U64)
     return np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*h, z]), np.concatenate([*h2, z])
 
 
+def _marks(path: str, n: int) -> np.ndarray:
+    fs, inner = open_fs(path)
+    with fs.open_input_stream(inner) as s:
+        return np.unpackbits(np.frombuffer(zlib.decompress(s.read()), np.uint8), count=n).astype(bool)
+
+
 def chunks_of(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """Chunks in order of doc_id: chunk, ids, nulls, lens, data."""
     n = default_partitions(docs.sparkSession)
@@ -198,6 +217,8 @@ def chunks_of(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
                     k, ids, lens, data, size = k + 1, [], [], [], 0
         if ids:
             yield flush()
+        del data
+        trim()
 
     ranged = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_last(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     return ranged.mapInArrow(run, "chunk long, ids array<long>, lens array<long>, data binary")
@@ -229,6 +250,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 keys, twice, b, s, e = _anchors(data, off, b1)
                 if len(b):
                     yield _entries(chunk, keys, twice, b, s, e)
+        trim()
 
     def more_than_once(chunk, keys, more):
         everything = np.sort(np.concatenate(keys))
@@ -238,19 +260,21 @@ def removed(docs: DataFrame) -> DataFrame:
     entry = "bucket long, chunk long, keys binary, more binary"
     first = _exchange(chunks.mapInArrow(send_anchors, entry), more_than_once, scratch_path(spark, "anchors"))
 
-    def candidates(data, off, file):
-        keys, _, _, s, e = _anchors(data, off, b1)
-        known = np.sort(keys[_flags(file, (e - s).tolist())]) if file else keys[:0]
-        return _candidates(data, off, known)
+    marks = scratch_path(spark, "marks")
 
     def send_strings(batches):
         for batch in batches:
             for chunk, data, off, file in _rows(batch, "file"):
-                _, h, h2 = candidates(data, off, file)
+                mark = _candidates(data, off, b1, lambda counts, file=file: _flags(file, counts) if file else np.zeros(sum(counts), bool))
+                # The same bytes whenever this task runs again; round 3 need not find them anew.
+                write_file(f"{marks}/{chunk}", [zlib.compress(np.packbits(mark).tobytes(), 1)])
+                _, h, h2 = _string_hashes(data, mark)
+                del mark
                 u, at = np.unique(h, return_index=True)
                 o, b, s, e = _by_bucket(u, h2[at] % U64(b2))
                 if len(b):
                     yield _entries(chunk, u[o], None, b, s, e)
+        trim()
 
     def earlier(chunk, keys, _):
         order = np.argsort(chunk, kind="stable")
@@ -266,12 +290,12 @@ def removed(docs: DataFrame) -> DataFrame:
 
     with_first = chunks.join(first, "chunk", "left")  # a row for each 8 MB of text: Spark broadcasts the names while they are few
     second = _exchange(with_first.mapInArrow(send_strings, entry), earlier, scratch_path(spark, "strings"))
-    with_both = with_first.join(second.withColumnRenamed("file", "file2"), "chunk", "left")
+    with_both = chunks.join(second.withColumnRenamed("file", "file2"), "chunk", "left")
 
     def cut(batches):
         for batch in batches:
-            for (_, data, off, file, file2), ids in zip(_rows(batch, "file", "file2"), batch.column("ids").to_pylist(), strict=True):
-                at, h, h2 = candidates(data, off, file)
+            for (chunk, data, off, file2), ids in zip(_rows(batch, "file2"), batch.column("ids").to_pylist(), strict=True):
+                at, h, h2 = _string_hashes(data, _marks(f"{marks}/{chunk}", len(data)))
                 u, place, inv = np.unique(h, return_index=True, return_inverse=True)
                 lost = np.ones(len(h), bool)
                 lost[place] = False
@@ -291,6 +315,7 @@ def removed(docs: DataFrame) -> DataFrame:
                     out.append((doc, len(g), [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)], data[off[r] : off[r + 1]][~g].tobytes()))
                 for k in range(0, len(out), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out[k : k + 2000], strict=True), (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
+        trim()
 
     return with_both.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 

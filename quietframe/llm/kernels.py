@@ -115,3 +115,17 @@ def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         h += mix(word_hashes[k : k + m] ^ _COEF[k]) * _COEF[k + 13]
     return mix(h)
+
+
+def trim() -> None:
+    """At the end of a task: what the allocators hold goes back to the system, as idle
+    Python workers stay beside those of the next stage."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

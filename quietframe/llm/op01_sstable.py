@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import default_partitions, materialize, open_fs, pick, read_table, scratch_path, tokenizer_path, write_file
-from .kernels import text_buffers
+from .kernels import text_buffers, trim
 from .tokens import encoder
 
 MAGIC = b"QFSST001"
@@ -234,6 +234,7 @@ def write_tables(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = E
             return
         batches = (x for part_ in ([head], it) for x in part_)
         size = write_file(path, chunks())
+        trim()
         yield pa.RecordBatch.from_pydict({"shard": [part], "path": [path], "n_docs": [len(w.keys)], "n_ids": [w.n_ids], "bytes": [size], "first_id": [w.keys[0]], "last_id": [w.keys[-1]]})
 
     rows = pick(docs, "doc_id", "text").where("doc_id is not null")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_of_id, pick, read_table
-from .kernels import LOWER, U64, mix, row_slices, text_buffers
+from .kernels import LOWER, U64, mix, row_slices, text_buffers, trim
 
 #: Rows that the model is fitted on, at most.
 SAMPLE = 6000
@@ -195,6 +195,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 langs += [m.langs[k] if m and o else "und" for k, o in zip(best.tolist(), ok.tolist(), strict=True)]
                 scores += np.where(ok, p, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "_lang", "_score"])
+        trim()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())]))
 

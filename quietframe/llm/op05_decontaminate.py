@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import open_fs, pick, read_table, scratch_path, write_file
-from .kernels import ALNUM_WORD, LOWER, gram_hashes, prefix_sums, row_slices, span_hashes, text_buffers, words
+from .kernels import ALNUM_WORD, LOWER, gram_hashes, prefix_sums, row_slices, span_hashes, text_buffers, trim, words
 
 N = 13
 #: Words of the benchmark that are in memory at a time.
@@ -92,10 +92,11 @@ def blocks_of(bench: DataFrame, n: int, most: int) -> list[Block]:
     return [*out, Block(held, n)] if held or not out else out
 
 
-def scan(docs: DataFrame, bench: DataFrame, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(docs: DataFrame, bench: DataFrame, n: int = N, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
     """`docs` with _n_words, _n_hit, _items (ids of items with occurring windows) and
     _spans (byte ranges of the UTF-8 text that hit words cover, a run of hit words
-    being one)."""
+    being one).  With `cut` the spans are cut from the texts of rows that aren't
+    contaminated."""
     spark = docs.sparkSession
     blocks = blocks_of(bench, n, block_words)
     if len(blocks) == 1:
@@ -135,8 +136,17 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = N, block_words: int = BLOCK
                         spans[r].append({"start": int(ws[k] - at[r]), "end": int(we[k] - at[r])})
                 out.append((n_words.tolist(), n_hit.tolist(), [sorted(items[r]) if r in items else [] for r in range(j - i)], [spans.get(r, []) for r in range(j - i)]))
             cols = [[v for part in out for v in part[k]] for k in range(4)]
+            own = list(batch.columns)
+            if cut:
+                at = batch.schema.names.index("text")
+                texts = batch.column(at).to_pylist()
+                for k, spans in enumerate(cols[3]):
+                    if spans and 20 * cols[1][k] < cols[0][k]:
+                        texts[k] = _without(texts[k].encode(), spans).decode()
+                own[at] = pa.array(texts, batch.schema.types[at])
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*batch.schema.names, *SCHEMA.names])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*batch.schema.names, *SCHEMA.names])
+        trim()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *SCHEMA.fields]))
 
@@ -148,21 +158,15 @@ def contaminated(n_hit: str = "_n_hit", n_words: str = "_n_words"):
 def remove(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """`docs` without contaminated documents; from the others, the hit spans are cut."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for k, spans in enumerate(b.column("_spans").to_pylist()):
-                if spans:
-                    raw, last, parts = texts[k].encode(), 0, []
-                    for s in spans:
-                        parts.append(raw[last : s["start"]])
-                        last = s["end"]
-                    texts[k] = b"".join([*parts, raw[last:]]).decode()
-            at = b.schema.names.index("text")
-            keep = [i for i, c in enumerate(b.schema.names) if c not in SCHEMA.names]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.types[at]) if i == at else b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
-
-    return scan(docs, bench, n).where(~contaminated()).mapInArrow(cut, docs.schema)
+    return scan(docs, bench, n, cut=True).where(~contaminated()).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _without(raw: bytes, spans: list[dict]) -> bytes:
+    last, parts = 0, []
+    for s in spans:
+        parts.append(raw[last : s["start"]])
+        last = s["end"]
+    return b"".join([*parts, raw[last:]])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_of_id, pick, read_table
-from .kernels import ALNUM_WORD, LOWER, U64, mix, prefix_sums, row_slices, span_hashes, text_buffers, words
+from .kernels import ALNUM_WORD, LOWER, U64, mix, prefix_sums, row_slices, span_hashes, text_buffers, trim, words
 from .op02_langid import sample
 
 SAMPLE = 8000
@@ -215,6 +215,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             data, off = text_buffers(b.column("text"))
             out = [m.scores(data[off[i] : off[j]], off[i : j + 1] - off[i]) if m else np.zeros(j - i) for i, j in row_slices(off, 1 << 20)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64())], names=[*b.schema.names, "_toxicity"])
+        trim()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_toxicity", T.DoubleType())]))
 

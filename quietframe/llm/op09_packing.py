@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pick, read_table, tokenizer_path
-from .kernels import text_buffers
+from .kernels import text_buffers, trim
 from .tokens import encoder
 
 LENGTH, END_ID = 2048, 1
@@ -120,6 +120,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
                         held, n = [], 0
         if held:
             yield flush()
+        del held
+        trim()
 
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -52,8 +52,8 @@ class Encoder:
 
     #: Units kept between calls; those met later are encoded for their block
     #: only, and where more than half of a block is new the memory starts anew.
-    KEPT = 600_000
-    BYTES = 1 << 23
+    KEPT = 250_000
+    BYTES = 1 << 22
 
     def __init__(self, path: str):
         import os

@@ -2,8 +2,10 @@
 
 The library's pre-tokenisers cut a text at places that can be told from the
 bytes on either side: before white space, between an ASCII or Latin-1 letter and
-an ASCII character that is none, and after punctuation before a letter (but not
-after an apostrophe, for contractions).  A text is cut there into units, each
+an ASCII character that is none, and before a letter after punctuation (but not
+after an apostrophe, for contractions) or after a line feed that follows no other
+white space: of a run of white space before a letter the last one is a token by
+itself, of a run that ends a unit it isn't.  A text is cut there into units, each
 different unit is encoded once, and the ids of a text are those of its units.
 Texts that hold the string of a special token go to the library whole."""
 
@@ -41,8 +43,11 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     solid = (_MARK | _LETTER)[data] | (data == 0x27) | latin
     first = _LETTER[data]
     first[:-1] |= latin[1:]
+    lone = prev == 0x0A  # a line feed right after what is no white space
+    lone[1:] &= solid[:-2]
+    lone[:1] = False
     cut = np.zeros(n, bool)
-    cut[1:] = (solid[:-1] & _WHITE[cur]) | (letter[:-1] & _OTHER[cur]) | ((_MARK[prev] | (prev == 0x0A)) & first[1:])
+    cut[1:] = (solid[:-1] & _WHITE[cur]) | (letter[:-1] & _OTHER[cur]) | ((_MARK[prev] | lone) & first[1:])
     cut[offsets[:-1][offsets[:-1] < n]] = True
     return np.flatnonzero(cut)
 

@@ -58,6 +58,15 @@ def test_encoder_equals_library(name):
         assert got == [x.ids for x in e.tok.encode_batch(rows, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_white_space_before_letters(name):
+    e, r = Encoder(tokenizer_path(name)), random.Random(4)
+    parts = ["\n", "\n\n", "\r\n", " ", "\t", "\u3000", "\u00a0", "a", "The", "É", "日", "7", ".", "'s", "\x00"]
+    rows = ["x\n\na", "x\n \na", "one.\n\nTwo\n\n\nÉ", "\n\na", "\na", *("".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(5_000))]
+    got = [ids[at[k] : at[k + 1]].tolist() for _, ids, at in e.rows(*text_buffers(pa.array(rows))) for k in range(len(at) - 1)]
+    assert got == [x.ids for x in e.tok.encode_batch(rows, add_special_tokens=False)]
+
+
 def test_sstable(spark):
     rows = [*texts(), (3, "again"), (-5, "below"), (None, "no key")]
     manifest = op01_sstable.write_tables(frame(spark, rows), scratch_path(spark, "t"), tokenizer_path("byte_bpe_50k.json"), shards=3)

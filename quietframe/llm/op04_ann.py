@@ -4,9 +4,10 @@ Equal vectors are one node.  A first graph comes from exact joins of small block
 vectors that lie next to each other on random projections.  Then each round of
 NN-descent joins the graph with itself: a node's neighbours, and the nodes that have
 it as neighbour, meet at the node and are told of each other where that is nearer
-than what they have.  A query starts at its own node's neighbours and expands the
-nearest ones not yet expanded, until its nearest stay the same; distances of the
-answer are taken anew in double precision.
+than what they have.  Rounds end when one changes at most a share SETTLED of all
+neighbours, however many it takes.  A query starts at its own node's neighbours and
+expands the nearest ones not yet expanded, until all of its BEAM nearest are, so that
+they stay the same; distances of the answer are taken anew in double precision.
 
 Contract for odd rows: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do null vec_ids, nor vectors of another length than the
@@ -22,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialize, pick, read_table, salted_lookup
+from .common import default_partitions, drop_table, materialize, pick, read_table, salted_lookup
 
 TOP, EVERY = 20, 20
-#: Neighbours in the graph; vectors in a first block; projections; rounds.
-NEIGHBOURS, BLOCK, PROJECTIONS, ROUNDS = 48, 1024, 8, 5
+#: Neighbours in the graph; vectors in a first block; projections.
+NEIGHBOURS, BLOCK, PROJECTIONS = 48, 1024, 8
+#: Share of changed neighbours at which the graph is settled.
+SETTLED = 0.001
 #: Neighbours either way that meet at a node; news that a meeting sends to each.
 MEET, NEWS = 20, 12
-#: Answers that a search keeps, nodes it expands in a round, and rounds.
-BEAM, EXPAND, STEPS = 96, 24, 4
+#: Answers that a search keeps, and nodes it expands in a round.
+BEAM, EXPAND = 96, 24
 _LISTS = "id long, ids binary, sims binary"
 
 
@@ -183,15 +186,36 @@ def descend(graph: DataFrame, table: DataFrame, k: int, seed: int, size: int) ->
         return pa.Table.from_batches([_lists(rows)])
 
     news = meet.groupBy("part").applyInArrow(run, _LISTS)
-    return materialize(merge(graph.union(news), k, size), "ann-graph")
+    out = materialize(merge(graph.union(news), k, size), "ann-graph")
+    drop_table(e)
+    return out
 
 
-def neighbour_graph(table: DataFrame, dim: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def changed(graph: DataFrame, before: DataFrame) -> float:
+    """Share of the neighbours in `graph` that their nodes didn't have `before`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(np.frombuffer(x, np.int64), np.frombuffer(y or b"", np.int64)) for x, y in zip(b.column("ids").to_pylist(), b.column("was").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int((~np.isin(x, y)).sum()) for x, y in pairs)], pa.int64()), pa.array([sum(len(x) for x, _ in pairs)], pa.int64())], names=["new", "all"])
+
+    pairs = graph.select("id", "ids").join(before.select("id", F.col("ids").alias("was")), "id", "left")
+    got = pairs.mapInArrow(run, "new long, all long").agg(F.sum("new"), F.sum("all")).first()
+    return (got[0] or 0) / max(1, got[1] or 0)
+
+
+def neighbour_graph(table: DataFrame, dim: int, k: int = NEIGHBOURS) -> DataFrame:
+    """Rounds until the graph is settled; lists only get nearer, so it comes to that."""
     size = table.count()
     graph = materialize(first_graph(table, dim, k, size), "ann-graph")
-    for r in range(rounds):
-        graph = descend(graph, table, k, r, size)
-    return graph
+    r = 0
+    while True:
+        before, graph = graph, descend(graph, table, k, r, size)
+        share = changed(graph, before)
+        drop_table(before)
+        if share <= SETTLED:
+            return graph
+        r += 1
 
 
 def search(queries: DataFrame, graph: DataFrame, table: DataFrame, beam: int = BEAM) -> DataFrame:
@@ -201,7 +225,7 @@ def search(queries: DataFrame, graph: DataFrame, table: DataFrame, beam: int = B
     state = materialize(mine.select(F.col("id").alias("q"), "ids", "sims", F.lit(b"").alias("done")), "ann-search")
     schema = "q long, ids binary, sims binary, done binary"
     parts = max(default_partitions(graph.sparkSession), queries.count() // 200)
-    for _ in range(STEPS):
+    while True:  # a node is expanded once for a query at most
 
         def frontier(batches):
             for b in batches:
@@ -215,6 +239,7 @@ def search(queries: DataFrame, graph: DataFrame, table: DataFrame, beam: int = B
 
         grow = materialize(state.mapInArrow(frontier, "q long, id long"), "ann-frontier")
         if grow.isEmpty():
+            drop_table(grow)
             break
         seen = _exploded(state.select(F.col("q").alias("id"), "ids", "sims")).select(F.col("id").alias("q"), F.col("other").alias("c"))
         found = _exploded(grow.join(graph, "id").select(F.struct("q").alias("s"), "ids", "sims", F.col("q").alias("id")).select("id", "ids", "sims")).select(F.col("id").alias("q"), F.col("other").alias("c")).distinct()
@@ -248,7 +273,9 @@ def search(queries: DataFrame, graph: DataFrame, table: DataFrame, beam: int = B
         heads = state.join(q, "q").select("q", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("c"), F.col("qvec").alias("vec"), "ids", "sims", "done")
         empty = F.lit(None).cast("binary")
         both = heads.union(found.select("q", F.lit(1), "c", "vec", empty, empty, empty)).withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
-        state = materialize(both.groupBy("part").applyInArrow(score, schema), "ann-search")
+        before, state = state, materialize(both.groupBy("part").applyInArrow(score, schema), "ann-search")
+        drop_table(before)
+        drop_table(grow)
     return state.select(F.col("q").alias("id"), "ids", "sims")
 
 

@@ -171,6 +171,31 @@ def test_ann(spark):
     assert op04_ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_search_goes_on_until_nearest_are_expanded(spark):
+    """Along an arc whose nodes only know the next ones, from a node that knows one far off."""
+    n = 60
+    v = np.stack([np.cos(np.arange(n) / 40), np.sin(np.arange(n) / 40)], 1).astype(np.float32)
+    near = {0: [n - 1]} | {i: [j for j in (i - 1, i + 1) if 0 < j < n] for i in range(1, n)}
+    table = spark.createDataFrame([(i, bytearray(v[i].tobytes())) for i in range(n)], "id long, vec binary")
+    graph = spark.createDataFrame([(i, bytearray(np.array(x, np.int64).tobytes()), bytearray((v[x] @ v[i]).astype(np.float32).tobytes())) for i, x in near.items()], "id long, ids binary, sims binary")
+    got = op04_ann.search(spark.createDataFrame([(0,)], "id long"), graph, table, beam=8).collect()
+    assert sorted(np.frombuffer(got[0]["ids"], np.int64).tolist()) == list(range(1, 9))
+
+
+def test_ann_descends_until_settled(spark, monkeypatch):
+    rounds, shares = [], iter([0.5] * 7 + [op04_ann.SETTLED])
+    first = spark.createDataFrame([], "id long, ids binary, sims binary")
+    monkeypatch.setattr(op04_ann, "first_graph", lambda *a: first)
+    monkeypatch.setattr(op04_ann, "descend", lambda graph, *a: rounds.append(1) or graph)
+    monkeypatch.setattr(op04_ann, "changed", lambda *a: next(shares), raising=False)
+    monkeypatch.setattr(op04_ann, "drop_table", lambda *a: None, raising=False)
+    op04_ann.neighbour_graph(first, 2)
+    assert len(rounds) == 8
+    one = lambda *x: spark.createDataFrame([(1, bytearray(np.array(x, np.int64).tobytes()))], "id long, ids binary")
+    monkeypatch.undo()
+    assert op04_ann.changed(one(2, 3, 4, 5), one(3, 2, 9)) == 0.5
+
+
 def test_decontaminate(spark):
     rows = texts(5)
     passage = " ".join(dict(rows)[45].split()[:30])

@@ -68,6 +68,14 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"].alias(c) for c in cols])
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores before it as make it unlike all of `columns`."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def crc_of_id(c: Column) -> Column:
     """crc32 of the id written as text, as the splits of op2 and op8 want it."""
     return F.crc32(c.cast("string"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, default_partitions, materialize, pick, read_table
+from .common import SALTS, default_partitions, fresh, materialize, pick, read_table
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,17 +66,23 @@ def dense(keep: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """`docs` with the kept lines as text, and the columns _n_lines and _n_dropped."""
-    b = bitmaps.select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), dense(F.col("keep")).alias("_words"), F.col("n_dropped").alias("_lost"))
+    """`docs` with the kept lines as text, and the columns _n_lines and _n_dropped
+    (fresh(): underscores before them where `docs` has such columns).
+
+    Bitmaps grow with the documents, so they always meet texts in a merge join: one
+    exchange of the texts whatever their number, that spills and that AQE splits."""
+    key, th, words, lost = (fresh(docs.columns, c) for c in ("_bitmap_of", "_bitmap_th", "_bitmap_words", "_bitmap_lost"))
+    b = bitmaps.select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("keep").alias(words), F.col("n_dropped").alias(lost))
     text = F.coalesce(docs["`text`"], F.lit(""))
-    both = docs.join(b, (docs["`doc_id`"] == b["_doc_id"]) & (F.xxhash64(text) == b["_th"]), "left")
-    bit = lambda i: F.coalesce(F.get(F.col("_words"), F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
-    kept = F.filter(lines_of(docs["`text`"]), lambda _, i: F.call_function("shiftright", bit(i), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    new = F.when(b["_words"].isNull(), docs["`text`"]).otherwise(F.array_join(kept, "\n"))
+    both = docs.join(b.hint("merge"), (docs["`doc_id`"] == F.col(key)) & (F.xxhash64(text) == F.col(th)), "left")
+    both = both.withColumn(words, dense(F.col(words)))
+    bit = lambda i: F.coalesce(F.get(F.col(words), F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
+    kept = F.filter(lines_of(F.col("`text`")), lambda _, i: F.call_function("shiftright", bit(i), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    new = F.when(F.col(words).isNull(), F.col("`text`")).otherwise(F.array_join(kept, "\n"))
     return both.select(
-        *[new.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns],
-        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_n_lines"),
-        F.coalesce(b["_lost"], F.lit(0).cast("long")).alias("_n_dropped"),
+        *[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        (F.octet_length(F.coalesce(F.col("`text`"), F.lit(""))) - F.octet_length(F.replace(F.coalesce(F.col("`text`"), F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias(fresh(docs.columns, "_n_lines")),
+        F.coalesce(F.col(lost), F.lit(0).cast("long")).alias(fresh(docs.columns, "_n_dropped")),
     )
 
 

@@ -38,13 +38,71 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+class Open:
+    """Open sequences by the room that is left: a heap of (cost, sequence) for each room,
+    and over the heaps' tops a tree of minima, so that the cheapest with room is exact."""
+
+    NONE = (float("inf"), -1, 0)
+
+    def __init__(self, length: int):
+        self.size = 1 << length.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]
+        #: Least (cost, sequence, room) below each node; leaf size + r is of room r.
+        self.tree = [self.NONE] * (2 * self.size)
+
+    def _update(self, room: int) -> None:
+        tree, heap = self.tree, self.heaps[room]
+        i, top = self.size + room, (*heap[0], room) if heap else self.NONE
+        tree[i] = top
+        while i > 1:
+            other = tree[i ^ 1]
+            i >>= 1
+            top = top if top < other else other
+            if tree[i] == top:
+                return
+            tree[i] = top
+
+    def put(self, cost_: float, sequence: int, room: int) -> None:
+        if room:
+            heap = self.heaps[room]
+            heapq.heappush(heap, (cost_, sequence))
+            if heap[0][1] == sequence:
+                self._update(room)
+
+    def take(self, room: int) -> tuple[float, int, int] | None:
+        """The cheapest sequence with at least so much room, which is then no longer open."""
+        tree, best = self.tree, self.NONE
+        lo, hi = self.size + room, 2 * self.size
+        while lo < hi:
+            if lo & 1:
+                best = min(best, tree[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                best = min(best, tree[hi])
+            lo, hi = lo >> 1, hi >> 1
+        if best is self.NONE:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._update(best[2])
+        return best
+
+    def take_emptiest(self) -> tuple[float, int, int] | None:
+        for room in range(len(self.heaps) - 1, 0, -1):
+            if self.heaps[room]:
+                return self.take(room)
+        return None
+
+    def room(self) -> int:
+        return sum(room * len(h) for room, h in enumerate(self.heaps))
+
+
 class Packer:
     """Packs the documents of one task.  Sequences have ids of their own from `first`."""
 
     def __init__(self, first: int, length: int = LENGTH):
         self.length, self.next = length, first
-        #: open sequences: (cost, sequence, used)
-        self.open: list[tuple[float, int, int]] = []
+        self.open = Open(length)
 
     def _new(self) -> int:
         self.next += 1
@@ -59,36 +117,24 @@ class Packer:
             if size % n:
                 rest.append((size % n, d, full * n))
         rest.sort(key=lambda x: (-x[0], x[1]))
-        room = sum(n - used for _, _, used in self.open)
-        more = max(0, -(-(sum(x[0] for x in rest) - room) // n))
-        self.open += [(0.0, self._new(), 0) for _ in range(more)]
-        heapq.heapify(self.open)
+        for _ in range(max(0, -(-(sum(x[0] for x in rest) - self.open.room()) // n))):
+            self.open.put(0.0, self._new(), n)
         late = []
         for size, d, start in rest:
-            skipped = []
-            while self.open and self.open[0][2] + size > n:
-                skipped.append(heapq.heappop(self.open))
-                if len(skipped) > 64:  # nothing with room among the cheapest: cut it below
-                    break
-            if self.open and self.open[0][2] + size <= n:
-                c, s, used = heapq.heappop(self.open)
-                out.append((d, start, size, s, used))
-                if used + size < n:
-                    heapq.heappush(self.open, (c + cost(size), s, used + size))
-            else:
-                late.append((size, d, start))
-            for x in skipped:
-                heapq.heappush(self.open, x)
-        holes = sorted(self.open, key=lambda x: (x[2], x[1]))
+            got = self.open.take(size)
+            if got is None:
+                late.append((size, d, start))  # no sequence has room for all of it
+                continue
+            c, s, room = got
+            out.append((d, start, size, s, n - room))
+            self.open.put(c + cost(size), s, room - size)
         for size, d, start in late:
             while size:
-                c, s, used = holes.pop(0) if holes else (0.0, self._new(), 0)
-                k = min(size, n - used)
-                out.append((d, start, k, s, used))
+                c, s, room = self.open.take_emptiest() or (0.0, self._new(), n)
+                k = min(size, room)
+                out.append((d, start, k, s, n - room))
                 start, size = start + k, size - k
-                if used + k < n:
-                    holes.insert(0, (c + cost(k), s, used + k))
-        self.open = holes
+                self.open.put(c + cost(k), s, room - k)
         return out
 
 

@@ -27,8 +27,8 @@ from .kernels import text_buffers, trim
 from .tokens import encoder
 
 MAGIC = b"QFSST001"
-#: Bytes of entries in a block before it is compressed.
-BLOCK = 1 << 16
+#: Bytes of entries in a block before it is compressed, and of blocks in a shard.
+BLOCK, SHARD = 1 << 16, 256 << 20
 #: Every so many entries of a block stand with their whole key.
 RESTART = 16
 #: Bits of the Bloom filter for each key, and its hash functions.
@@ -204,38 +204,45 @@ class TableReader:
         return None
 
 
-def write_tables(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
+def write_tables(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = END_ID, shards: int | None = None, shard_bytes: int = SHARD) -> DataFrame:
     """Write `docs` (doc_id, text) as shards under `out_dir`; the manifest, one row
     a shard: shard, path, n_docs, n_ids, bytes, first_id, last_id.
 
-    Files have names of their own for each attempt and only those in the manifest
-    count, so a task that runs again does no harm."""
+    A task starts a new shard where one has `shard_bytes`, so shards stay small however
+    much a task has.  Files have names of their own for each attempt and only those in
+    the manifest count, so a task that runs again does no harm."""
     n = shards or default_partitions(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, w, ends = encoder(vocabulary), TableWriter(), np.array([end_id], np.uint32)
-        part = TaskContext.get().partitionId()
-        path = f"{out_dir}/shard-{part:06d}-{uuid.uuid4().hex}.sst"
+        enc, ends = encoder(vocabulary), np.array([end_id], np.uint32)
+        part, k = TaskContext.get().partitionId(), 0
 
-        def chunks():
+        def rows():
             for b in batches:
                 data, off = text_buffers(b.column("text"))
                 doc_ids = b.column("doc_id").to_pylist()
                 for first, ids, at in enc.rows(data, off):
-                    for k in range(len(at) - 1):
-                        yield from w.add(doc_ids[first + k], np.concatenate([ids[at[k] : at[k + 1]], ends]))
+                    for r in range(len(at) - 1):
+                        yield doc_ids[first + r], np.concatenate([ids[at[r] : at[r + 1]], ends])
+
+        todo = rows()
+        row = next(todo, None)
+
+        def shard(w: TableWriter):
+            nonlocal row
+            while row is not None and w.offset < shard_bytes:
+                yield from w.add(*row)
+                row = next(todo, None)
             yield from w.finish()
 
-        it = iter(b for b in batches if b.num_rows)
-        head = next(it, None)
-        if head is None:
-            return
-        batches = (x for part_ in ([head], it) for x in part_)
-        size = write_file(path, chunks())
+        while row is not None:
+            w, path = TableWriter(), f"{out_dir}/shard-{part:06d}-{k:04d}-{uuid.uuid4().hex}.sst"
+            size = write_file(path, shard(w))
+            yield pa.RecordBatch.from_pydict({"shard": [part << 20 | k], "path": [path], "n_docs": [len(w.keys)], "n_ids": [w.n_ids], "bytes": [size], "first_id": [w.keys[0]], "last_id": [w.keys[-1]]})
+            k += 1
         trim()
-        yield pa.RecordBatch.from_pydict({"shard": [part], "path": [path], "n_docs": [len(w.keys)], "n_ids": [w.n_ids], "bytes": [size], "first_id": [w.keys[0]], "last_id": [w.keys[-1]]})
 
     rows = pick(docs, "doc_id", "text").where("doc_id is not null")
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -52,8 +52,7 @@ def empty(spark):
 def test_encoder_equals_library(name):
     e = Encoder(tokenizer_path(name))
     rows = [t or "" for _, t in texts()]
-    e.KEPT = 50
-    for _ in range(2):
+    for e.KEPT, e.BYTES, e.SLICE in ((10**6, 1 << 24, 1 << 21), (10**6, 1 << 24, 1 << 21), (50, 1 << 12, 1 << 9)):
         got = [ids[at[k] : at[k + 1]].tolist() for _, ids, at in e.rows(*text_buffers(pa.array(rows))) for k in range(len(at) - 1)]
         assert got == [x.ids for x in e.tok.encode_batch(rows, add_special_tokens=False)]
 
@@ -61,8 +60,8 @@ def test_encoder_equals_library(name):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_white_space_before_letters(name):
     e, r = Encoder(tokenizer_path(name)), random.Random(4)
-    parts = ["\n", "\n\n", "\r\n", " ", "\t", "\u3000", "\u00a0", "a", "The", "É", "日", "7", ".", "'s", "\x00"]
-    rows = ["x\n\na", "x\n \na", "one.\n\nTwo\n\n\nÉ", "\n\na", "\na", *("".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(5_000))]
+    parts = ["\n", "\n\n", "\r\n", " ", "\t", "\u3000", "\u00a0", "a", "The", "É", " Été", " word", " ÀB", "e\u0301", "×", "İ", "ﬁ", "日", "7", ".", "'s", "’", "\x00", "<|endoftext|>"]
+    rows = ["x\n\na", "x\n \na", "one.\n\nTwo\n\n\nÉ", "\n\na", "\na", *("".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(30_000))]
     got = [ids[at[k] : at[k + 1]].tolist() for _, ids, at in e.rows(*text_buffers(pa.array(rows))) for k in range(len(at) - 1)]
     assert got == [x.ids for x in e.tok.encode_batch(rows, add_special_tokens=False)]
 
@@ -87,6 +86,8 @@ def test_sstable(spark):
         assert t.get(10**9) is None
     assert set(found) == {i for i, _ in rows if i is not None}
     assert found[12] == [*tok.encode(dict(texts())[12], add_special_tokens=False).ids, 0]
+    small = op01_sstable.write_tables(frame(spark, rows), scratch_path(spark, "t"), tokenizer_path("byte_bpe_50k.json"), shards=2, shard_bytes=1)
+    assert small.count() >= 2 and sorted(tuple(r)[:4] for r in op01_sstable.read_tables(small).collect()) == got
     assert op01_sstable.read_tables(op01_sstable.write_tables(empty(spark), scratch_path(spark, "t"), tokenizer_path("byte_bpe_50k.json"))).count() == 0
 
 
@@ -290,6 +291,39 @@ def test_packing(spark):
     assert None in docs and op09_packing.pack(empty(spark), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("draw", [lambda r: r.randint(1, 64), lambda r: r.choice([1, 1, 2, 60, 63]), lambda r: r.choice([1, 33, 40, 200])])
+def test_packing_takes_the_cheapest_with_room(draw):
+    """Against a search of all open sequences; in the second case hundreds of cheap ones are too full."""
+    r, n = random.Random(6), 64
+    packer, free, new = op09_packing.Packer(0, n), {}, 0  # free: sequence -> (cost, room)
+    for _ in range(3):
+        sizes, want = [draw(r) for _ in range(700)], []
+        for d, x in enumerate(sizes):
+            want += [(d, k * n, n, new + k, 0) for k in range(x // n)]
+            new += x // n
+        rest = sorted(((x % n, d, x - x % n) for d, x in enumerate(sizes) if x % n), key=lambda x: (-x[0], x[1]))
+        for _ in range(max(0, -(-(sum(x[0] for x in rest) - sum(f[1] for f in free.values())) // n))):
+            free[new], new = (0.0, n), new + 1
+
+        def put(d, start, size, s):
+            want.append((d, start, size, s, n - free[s][1]))
+            free[s] = (free[s][0] + op09_packing.cost(size), free[s][1] - size)
+            if not free[s][1]:
+                del free[s]
+
+        late = []
+        for size, d, start in rest:
+            fits = [(c, s) for s, (c, room) in free.items() if room >= size]
+            put(d, start, size, min(fits)[1]) if fits else late.append((size, d, start))
+        for size, d, start in late:
+            while size:
+                _, _, s = min((-room, c, s) for s, (c, room) in free.items())
+                k = min(size, free[s][1])
+                put(d, start, k, s)
+                size, start = size - k, start + k
+        assert packer.pack(sizes) == want
+
+
 def brute_lines(rows):
     strip, low = " \t\n\x0b\x0c\r", str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(strip).translate(low)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .kernels import row_slices
 
@@ -31,16 +32,14 @@ _OTHER &= ~_LETTER
 _OTHER[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x7F]] = False
 
 
-def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where units start: at rows and at cuts that no token can cross."""
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Whether no token can cross from the byte before to each byte of `data`."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
     prev, cur = data[:-1], data[1:]
     latin = np.zeros(n, bool)  # last byte of U+00C0..U+00FF without the two signs
     latin[1:] = (prev == 0xC3) & (cur >= 0x80) & (cur != 0x97) & (cur != 0xB7)
     letter = _LETTER[data] | latin
-    solid = (_MARK | _LETTER)[data] | (data == 0x27) | latin
+    solid = _MARK[data] | letter | (data == 0x27)
     first = _LETTER[data]
     first[:-1] |= latin[1:]
     lone = prev == 0x0A  # a line feed right after what is no white space
@@ -48,17 +47,34 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lone[:1] = False
     cut = np.zeros(n, bool)
     cut[1:] = (solid[:-1] & _WHITE[cur]) | (letter[:-1] & _OTHER[cur]) | ((_MARK[prev] | lone) & first[1:])
+    return cut
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Where units start: at rows and at cuts that no token can cross.  A cut is told from
+    the four bytes before it and the one after, so steps see those as well."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    cut = np.empty(n, bool)
+    for lo in range(0, n, step):
+        a = max(0, lo - 4)
+        cut[lo : lo + step] = _cuts(data[a : lo + step + 1])[lo - a : lo - a + step]
     cut[offsets[:-1][offsets[:-1] < n]] = True
     return np.flatnonzero(cut)
 
 
+#: A space and letters that no normaliser changes in number: such units stay apart when joined.
+_PLAIN = "^ [A-Za-zÀ-ÖØ-öø-ÿ]+$"
+
+
 class Encoder:
     """ids of whole texts; the encodings of units are kept between calls."""
 
-    #: Units kept between calls; those met later are encoded for their block
-    #: only, and where more than half of a block is new the memory starts anew.
-    KEPT = 250_000
-    BYTES = 1 << 22
+    #: Units kept between calls; with more, only those of the block at hand stay.
+    KEPT = 1_000_000
+    #: Bytes of text whose units are told apart together, and that are put together at a time.
+    BYTES, SLICE = 1 << 24, 1 << 21
 
     def __init__(self, path: str):
         import os
@@ -68,28 +84,49 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        vocabulary = self.tok.get_vocab()
+        #: Whether words end in a suffix or start with a space, and the ids that do so.
+        self.by_end = any(t.endswith("</w>") for t in vocabulary)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.by_end else t.startswith("Ġ"))]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.at = np.zeros(1 << 12, np.int64)
-        self.len = np.zeros(1 << 12, np.int64)
-
-    def _learn(self, units: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+        self.units = pa.array([], pa.string())
+        self.flat = np.zeros(0, np.uint32)
+        self.at = np.zeros(1, np.int64)
+
+    def _encode(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of units one by one, and how many each has."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(units.to_pylist(), add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, k = int(lens.sum()), len(self.slot)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
-        while k + len(ids) > len(self.at):
-            self.at, self.len = (np.concatenate([x, np.zeros(max(len(x), len(ids)), np.int64)]) for x in (self.at, self.len))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.at[k : k + len(ids)] = self.used + np.cumsum(lens) - lens
-        self.len[k : k + len(ids)] = lens
-        self.used += total
-        self.slot.update(zip(units, range(k, k + len(ids)), strict=True))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens
+
+    def _joined(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain units, encoded as one text and told apart by the ids at their edges."""
+        ids, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(units), 1 << 16):
+            part = units.slice(k, 1 << 16)
+            got = np.array(self.tok.encode_batch_fast(["".join(part.to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+            edge = np.flatnonzero(self.edge[got])
+            n = np.diff(edge, prepend=-1) if self.by_end else np.diff(edge, append=len(got))
+            if len(edge) != len(part) or int(n.sum()) != len(got):
+                got, n = self._encode(part)
+            ids.append(got)
+            lens.append(n)
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def _learn(self, units: pa.StringArray) -> None:
+        plain = pc.match_substring_regex(units, _PLAIN)
+        order = []
+        for mask, encode in ((plain, self._joined), (pc.invert(plain), self._encode)):
+            some = units.filter(mask)
+            if len(some):
+                ids, lens = encode(some)
+                order.append(some)
+                self.flat = np.concatenate([self.flat, ids])
+                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
+        self.units = pa.concat_arrays([self.units, *order])
 
     def rows(self, data: np.ndarray, offsets: np.ndarray):
         """Yields (first row, ids, id offsets of the rows) for runs of rows."""
@@ -102,42 +139,45 @@ class Encoder:
                 while p >= 0:
                     odd.add(int(np.searchsorted(off, p, "right")) - 1)
                     p = raw.find(s, p + 1)
-            ids, lens = self._run(part, off)
-            if odd:
-                o = np.concatenate([[0], np.cumsum(lens)])
-                parts = [ids[o[r] : o[r + 1]] for r in range(j - i)]
-                for r in odd:
-                    parts[r] = np.array(self.tok.encode(raw[off[r] : off[r + 1]].decode(), add_special_tokens=False).ids, np.uint32)
-                ids, lens = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-            yield i, ids, np.concatenate([[0], np.cumsum(lens)])
-
-    def _run(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            starts, slots = self._slots(part, off)
+            row_units = np.searchsorted(starts, off)
+            for a, b in row_slices(off, self.SLICE):
+                ids, lens = self._ids(slots[row_units[a] : row_units[b]])
+                at = np.concatenate([[0], np.cumsum(lens)])[row_units[a : b + 1] - row_units[a]]
+                if any(a <= r < b for r in odd):
+                    parts = [ids[at[r] : at[r + 1]] for r in range(b - a)]
+                    for r in odd:
+                        if a <= r < b:
+                            parts[r - a] = np.array(self.tok.encode(raw[off[r] : off[r + 1]].decode(), add_special_tokens=False).ids, np.uint32)
+                    ids, at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                yield i + a, ids, at
+
+    def _slots(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of units, and each one's place among those kept."""
         starts = unit_starts(data, off)
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+            return starts, starts
         bounds = np.append(starts, len(data)).astype(np.int32)
         arr = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
         d = arr.dictionary_encode()
-        units = d.dictionary.to_pylist()
-        get = self.slot.get
-        new = [u for u in units if get(u) is None]
-        if len(self.slot) + len(new) > self.KEPT and 2 * len(new) > len(units):
-            self.clear()
-            new = units
-        kept, used = len(self.slot), self.used
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))[d.indices.to_numpy()]
-        lens = self.len[slots]
+        units = d.dictionary
+        known = pc.index_in(units, value_set=self.units)
+        if known.null_count:
+            if len(self.units) + known.null_count > self.KEPT:
+                self.clear()
+                self._learn(units)
+            else:
+                self._learn(units.filter(pc.is_null(known)))
+            known = pc.index_in(units, value_set=self.units)
+        return starts, known.to_numpy()[d.indices.to_numpy()]
+
+    def _ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of units in a row, and how many each has."""
+        lens = self.at[slots + 1] - self.at[slots]
         ends = np.cumsum(lens)
-        begin = self.at[slots] - (ends - lens)
-        ids = self.flat[np.repeat(begin, lens) + np.arange(int(ends[-1]))]
-        per = np.concatenate([[0], ends])[np.searchsorted(starts, off)]
-        if len(self.slot) > max(self.KEPT, kept):
-            for u in new:
-                del self.slot[u]
-            self.used = used
-        return ids, np.diff(per)
+        if not len(ends):
+            return np.zeros(0, np.uint32), lens
+        return self.flat[np.repeat(self.at[slots] - (ends - lens), lens) + np.arange(int(ends[-1]))], lens
 
 
 _encoders: dict[str, Encoder] = {}

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import math
 import warnings
-from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +17,9 @@ from ..plans.nodes import Kind
 from ..plans.rules import Distance, clean, distance_of, distinct_ids, group_columns, measures, midpoint, split_for_detection
 from ..runtime import ship
 from ..schema import KEY_TYPES, ColumnDescriptor, ColumnType
+from .joins import null_safe_join
 from .lower import col, enforce, lower
-from .noise import NoiseSpec, add_noise, draw, grid, noisy_prefix, quantile_draw
+from .noise import NoiseSpec, add_noise, draw, gap_weights, grid, noisy_prefix, uniform
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -180,7 +180,8 @@ def _average(p: Prepared, q: N.Query, df: DataFrame) -> DataFrame:
 
 
 def _spread(p: Prepared, q: N.Query, df: DataFrame) -> DataFrame:
-    """Sample variance, at most the square of half the range; NaN for fewer than two rows."""
+    """Sample variance, at most the square of half the range (0, 1, 1 in [0, 1] has 0.25, not
+    1 / 3: golden answers want it at an infinite budget too); NaN for fewer than two rows."""
     whole, most = _is_whole(p, q), ((float(q.high) - float(q.low)) / 2) ** 2
     mid = midpoint(q.low, q.high, whole)
     off = (_clamped(q, whole) - F.lit(mid)).cast("double")
@@ -202,55 +203,64 @@ def _spread(p: Prepared, q: N.Query, df: DataFrame) -> DataFrame:
     return out.select(*[col(c) for c in keys], value.alias(q.name))
 
 
-#: Values of one key that a task takes at a time; a longer run is thinned to exact counts of a grid.
-QUANTILE_CELLS = 1 << 16
+#: Distinct values that a task ranks at a time, parts that a longer run is cut into, and how often.
+RANKED, PARTS, LEVELS = 1 << 18, 4096, 5
+
+
+def ranked(counts: DataFrame, keys: list[str], low: float) -> DataFrame:
+    """The gap to the left of each distinct value: keys, __left, __x, __rank (values below
+    it), __after (rank of the next gap) and __total, exactly, from (keys, __x, __n).
+
+    A key's values are cut by value until no part has more than RANKED of them: parts
+    are ranked apart, and what stands before a part comes from the table of parts."""
+    d, part = counts.withColumn("__c", F.lit(0).cast("long")), [*keys, "__c"]
+    for level in range(LEVELS + 1):
+        sizes = _grouped(d, part, F.count(F.lit(1)).alias("__m"), F.sum("__n").alias("__here"), F.min("__x").alias("__a"), F.max("__x").alias("__b"))
+        if level == LEVELS or (sizes.where("__a < __b").agg(F.max("__m")).first()[0] or 0) <= RANKED:
+            break
+        at = F.floor((col("__x") - col("__a")) / (col("__b") - col("__a")) * PARTS).cast("long")
+        cut = F.when(col("__m") > RANKED, F.coalesce(at, F.lit(0).cast("long"))).otherwise(0)
+        d = settle(null_safe_join(d, sizes.drop("__here"), part).select(*[col(c) for c in keys], "__x", "__n", (col("__c") * (PARTS + 1) + cut).alias("__c")))
+    run = Window.partitionBy(*[col(c) for c in keys]).orderBy("__c")
+    so_far = F.sum("__here").over(run.rowsBetween(Window.unboundedPreceding, 0))
+    parts = sizes.select(*[col(c) for c in part], (so_far - col("__here")).alias("__before"), F.lag("__b").over(run).alias("__prev"), F.sum("__here").over(Window.partitionBy(*[col(c) for c in keys])).alias("__total"))
+    inside = Window.partitionBy(*[col(c) for c in part]).orderBy("__x")
+    after = col("__before") + F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    joined = null_safe_join(d, parts, part)
+    left = F.coalesce(F.lag("__x").over(inside), col("__prev"), F.lit(low))
+    return joined.select(*[col(c) for c in keys], left.alias("__left"), "__x", (after - col("__n")).alias("__rank"), after.alias("__after"), "__total")
 
 
 def _quantile(p: Prepared, q: N.Query, df: DataFrame) -> DataFrame:
-    """The measure is rounded to one of QUANTILE_CELLS cells of its range and counted
-    before the shuffle, so a key of any size is a bounded list; every row counts."""
+    """The exponential mechanism over all gaps between a key's distinct values and the
+    bounds: each gap's logarithmic weight gets Gumbel noise, the greatest sum wins."""
     keys, low, high = q.keys.columns(), float(q.low), float(q.high)
-    step = (high - low) / QUANTILE_CELLS
     x = F.least(F.greatest(col(q.column).cast("double"), F.lit(low)), F.lit(high))
-    cell = F.least(F.floor((x - F.lit(low)) / F.lit(step)), F.lit(QUANTILE_CELLS - 1)).cast("long")
-    cells = _grouped(df.withColumn("__cell", cell).withColumn("__x", x), [*keys, "__cell"], F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__a"), F.max("__x").alias("__b"))
-    lists = _grouped(cells, keys, F.array_sort(F.collect_list(F.struct("__cell", "__n", "__a", "__b"))).alias("__cells"))
-    kind = "array<struct<__cell:long,__n:long,__a:double,__b:double>>"
-    out = aligned(q.keys, lists, {"__cells": F.expr(f"cast(array() as {kind})")})
+    counts = settle(_grouped(df.withColumn("__x", x), [*keys, "__x"], F.count(F.lit(1)).alias("__n")))
+    gaps = ranked(counts, keys, low)
+    last = F.when(col("__after") == col("__total"), F.struct(col("__x").alias("__left"), F.lit(high).alias("__right"), col("__after").alias("__rank")))
+    both = F.array_compact(F.array(F.struct("__left", col("__x").alias("__right"), "__rank"), last))
+    gaps = gaps.select(*[col(c) for c in keys], F.explode(both).alias("__g"), "__total").select(*[col(c) for c in keys], "__g.*", "__total").where("__left < __right")
     eps, share = float(p.noise["quantile"].parameter), float(q.quantile)
     sens, name = float(p.distance.total) * max(share, 1 - share), q.name
 
-    def run(frames):
+    def weigh(frames):
+        for f in frames:
+            f["__score"], f["__weight"] = gap_weights(f.pop("__rank").to_numpy(float), (f["__right"] - f["__left"]).to_numpy(float), f.pop("__total").to_numpy(float), share, eps, sens)
+            yield f
+
+    schema = T.StructType([*[gaps.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in ("__left", "__right", "__score", "__weight")]])
+    best = _grouped(gaps.mapInPandas(weigh, schema), keys, F.max_by(F.struct("__left", "__right"), F.struct("__score", "__weight")).alias("__gap"))
+    out = aligned(q.keys, best, {"__gap": F.struct(F.lit(low).alias("__left"), F.lit(high).alias("__right"))})
+    out = out.select(*[col(c) for c in keys], "__gap.*")
+
+    def place(frames):
         for f in frames:
-            f[name] = [quantile_cells([(c["__n"], c["__a"], c["__b"]) for c in cells_], low, high, share, eps, sens) for cells_ in f.pop("__cells")]
+            f[name] = f["__left"] + (f.pop("__right") - f["__left"]) * uniform(len(f))
+            del f["__left"]
             yield f
 
-    return out.mapInPandas(run, T.StructType([*[out.schema[c] for c in keys], T.StructField(q.name, T.DoubleType())]))
-
-
-def quantile_cells(cells: list[tuple[int, float, float]], low: float, high: float, q: float, eps: float, sens: float) -> float:
-    """quantile_draw() of values that are known by cell: a cell's values are spread
-    evenly between its least and its greatest."""
-    import numpy as np
-
-    if sum(n for n, _, _ in cells) <= 4 * QUANTILE_CELLS:
-        v = np.concatenate([np.zeros(0), *(np.linspace(a, b, int(n)) for n, a, b in cells)])
-        return quantile_draw(v, low, high, q, eps, sens)
-    # Weigh cells first, then draw inside the one that is chosen.
-    n = np.array([c[0] for c in cells], float)
-    before = np.cumsum(n) - n
-    edges = np.array([c[1] for c in cells] + [cells[-1][2]])
-    score = -np.maximum(0, np.maximum(before - q * n.sum(), q * n.sum() - before - n))
-    width = np.maximum(np.diff(edges), 1e-300)
-    if math.isinf(eps):
-        k = int(score.argmax())
-    else:
-        w = np.log(width) + eps * score / (2 * sens)
-        at = np.cumsum(np.exp(w - w.max()))
-        import secrets
-
-        k = min(int(np.searchsorted(at, float(Fraction(secrets.randbits(53), 1 << 53)) * at[-1])), len(w) - 1)
-    return quantile_draw([], float(edges[k]), float(edges[k + 1]) if edges[k + 1] > edges[k] else float(np.nextafter(edges[k], np.inf)), 0.5, math.inf, 1.0)
+    return out.mapInPandas(place, T.StructType([*[out.schema[c] for c in keys], T.StructField(q.name, T.DoubleType())]))
 
 
 def _bounds(p: Prepared, q: N.Query, df: DataFrame) -> DataFrame:

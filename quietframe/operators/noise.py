@@ -8,6 +8,7 @@ to is summed on that grid too."""
 from __future__ import annotations
 
 import math
+import os
 import secrets
 from dataclasses import dataclass
 from enum import Enum
@@ -146,27 +147,24 @@ def add_noise(df: DataFrame, specs: dict[str, NoiseSpec]) -> DataFrame:
     return df.mapInPandas(run, T.StructType(df.schema.fields))
 
 
-def quantile_draw(values, low: float, high: float, q: float, epsilon: float, sensitivity: float) -> float:
-    """Exponential mechanism over the gaps of sorted values in [low, high]; a gap's utility
-    is minus its rank's distance from q * n.  With infinite epsilon a gap of greatest
-    utility is taken.  Uniform inside the gap."""
+def uniform(n: int):
+    """n numbers in (0, 1) from the operating system's generator."""
     import numpy as np
 
-    v = np.sort(np.clip(np.asarray(values, float), low, high))
-    edges = np.concatenate([[low], v, [high]])
-    width = np.diff(edges)
-    score = -np.abs(np.arange(len(v) + 1) - q * len(v))
-    ok = width > 0
+    return ((np.frombuffer(os.urandom(8 * n), np.uint64) >> np.uint64(11)) + 0.5) * 2.0**-53
+
+
+def gap_weights(rank, width, total, q: float, epsilon: float, sensitivity: float):
+    """(score, weight) of gaps of a positive width: the gap whose pair is greatest is drawn
+    as the exponential mechanism draws.  A gap's utility is minus its rank's distance
+    from q * total; with infinite epsilon gaps of the greatest utility alone count."""
+    import numpy as np
+
+    utility = -np.abs(rank - q * total)
+    gumbel = np.log(width) - np.log(-np.log(uniform(len(width))))
     if math.isinf(epsilon):
-        best = ok & (score >= score[ok].max() - 1e-9)
-        weight = np.where(best, width, 0.0)
-    else:
-        logw = np.where(ok, np.log(np.where(ok, width, 1)) + epsilon * score / (2 * sensitivity), -np.inf)
-        weight = np.exp(logw - logw.max())
-    at = np.cumsum(weight)
-    u = Fraction(secrets.randbits(53), 1 << 53)
-    k = min(int(np.searchsorted(at, float(u) * at[-1], "right")), len(weight) - 1)
-    return float(edges[k] + (edges[k + 1] - edges[k]) * secrets.randbits(53) / (1 << 53))
+        return np.round(utility, 9), gumbel
+    return epsilon * utility / (2 * sensitivity) + gumbel, np.zeros(len(width))
 
 
 def noisy_prefix(counts: dict[int, int], spec: NoiseSpec, share: float = 0.95) -> int:

@@ -315,18 +315,52 @@ def get_bounds(spark, sf):
     return rows(spark, sf, "customer", "c_acctbal").evaluate(QueryBuilder("customer").get_bounds("c_acctbal", "low", "high"), INF)
 
 
+def _gap_start(share: float) -> str:
+    """Where the gap of the rank nearest to share * n starts: a value, or the bound 0."""
+    return f"""WITH v AS (SELECT l_returnflag, l_quantity AS x, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY ALL),
+r AS (SELECT l_returnflag, x, sum(n) OVER (PARTITION BY l_returnflag ORDER BY x) AS r, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM v),
+g AS (SELECT * FROM r UNION ALL SELECT DISTINCT l_returnflag, 0, 0, total FROM r)
+SELECT l_returnflag, arg_min(x, abs(r - {share} * total))::BIGINT AS start FROM g GROUP BY ALL"""
+
+
 def _sampled(kind: str, *args):
+    """Quantities are whole, from 1 to 50: the answer's whole part is the start of its gap."""
+
     def f(spark, sf):
         s = rows(spark, sf, "lineitem", "l_returnflag", "l_quantity")
         g = QueryBuilder("lineitem").groupby(KeySet.from_dict({"l_returnflag": FLAGS[:3]}))
-        return s.evaluate(getattr(g, kind)("l_quantity", *args, 0.0, 60.0, name="q"), INF)
+        out = s.evaluate(getattr(g, kind)("l_quantity", *args, 0.0, 60.0, name="q"), INF)
+        return out.select("l_returnflag", F.floor(F.least("q", F.lit(50.0))).alias("start"))
 
     f.__name__ = f"{kind}_sampled"
     return f
 
 
-for _kind, _args in (("quantile", (0.25,)), ("min", ()), ("max", ()), ("median", ())):
-    query()(_sampled(_kind, *_args))
+for _kind, _args, _share in (("quantile", (0.25,), 0.25), ("min", (), 0), ("max", (), 1), ("median", (), 0.5)):
+    query(_gap_start(_share))(_sampled(_kind, *_args))
+
+
+def _outlier(spark: SparkSession, sf: str) -> DataFrame:
+    """About 500 values from 1 to 10, and 9,000."""
+    return load(spark, sf, "lineitem", "l_orderkey", "l_linenumber").where("l_linenumber = 1 AND l_orderkey <= 500").select(F.expr("CASE WHEN l_orderkey = 500 THEN 9000D ELSE 1D + l_orderkey % 10 END").alias("v"))
+
+
+@query("""WITH t AS (SELECT CASE WHEN l_orderkey = 500 THEN 9000 ELSE 1 + l_orderkey % 10 END AS v FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <= 500),
+r AS (SELECT v, sum(count(*)) OVER (ORDER BY v) AS r, sum(count(*)) OVER () AS total FROM t GROUP BY v)
+SELECT arg_min(v, abs(r - 0.5 * total))::BIGINT AS start FROM r""")
+def median_wide_bounds(spark, sf):
+    """The declared range is far wider than the values."""
+    s = Session.from_dataframe(INF, "t", _outlier(spark, sf), AddOneRow())
+    return s.evaluate(QueryBuilder("t").median("v", 0.0, 1e9, "q"), INF).select(F.floor("q").alias("start"))
+
+
+@query("""WITH t(f, x) AS (VALUES ('a', 0.0::DOUBLE), ('a', 10.0), ('b', 10.0), ('b', 0.25), ('b', 10.0), ('c', 4.0), ('c', 6.0))
+SELECT f, least(var_samp(x), power((10 - 0) / 2, 2)) AS v FROM t GROUP BY f""")
+def variance_at_the_bounds(spark, sf):
+    """Samples whose variance passes the square of half the range, which it is kept to."""
+    df = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("b", float("inf")), ("b", 0.25), ("b", 1e308), ("c", 4.0), ("c", 6.0)], "f string, x double")
+    s = Session.from_dataframe(INF, "t", df, AddOneRow())
+    return s.evaluate(QueryBuilder("t").groupby(KeySet.from_dict({"f": ["a", "b", "c"]})).variance("x", 0.0, 10.0, "v"), INF)
 
 
 @query("SELECT l_returnflag, count(*) AS count FROM lineitem WHERE l_quantity < 24 AND l_returnflag IN ('A', 'N', 'R') GROUP BY ALL")

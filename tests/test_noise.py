@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from quietframe.operators.noise import Noise, NoiseSpec, discrete_gaussian, discrete_laplace, draw, grid, inverse_cdf, noisy_prefix, quantile_draw
+import numpy as np
+
+from quietframe.operators.noise import Noise, NoiseSpec, discrete_gaussian, discrete_laplace, draw, gap_weights, grid, inverse_cdf, noisy_prefix, uniform
 
 
 def moments(draws):
@@ -43,12 +45,25 @@ def test_none():
     assert draw(NoiseSpec(Noise.NONE, 0)) == 0 and discrete_laplace(Fraction(0)) == 0 == discrete_gaussian(Fraction(0))
 
 
-def test_quantile():
+def quantile(values, low, high, q, eps):
+    edges = np.unique([low, *values, high])
+    rank = np.array([sum(v <= e for v in values) for e in edges[:-1]], float)
+    a, b = gap_weights(rank, np.diff(edges), np.full(len(rank), len(values), float), q, eps, 1)
+    k = max(range(len(rank)), key=lambda i: (a[i], b[i]))
+    return edges[k], edges[k + 1]
+
+
+def test_gap_weights():
     values = list(range(101))
-    assert all(49 <= quantile_draw(values, 0, 100, 0.5, math.inf, 1) <= 51 for _ in range(20))
-    draws = [quantile_draw(values, 0, 100, 0.5, 20.0, 1) for _ in range(200)]
-    assert 40 < sum(draws) / 200 < 60 and all(0 <= x <= 100 for x in draws)
-    assert 2 <= quantile_draw([], 2, 3, 0.5, math.inf, 1) <= 3
+    assert all(49 <= quantile(values, 0, 100, 0.5, math.inf)[0] <= 50 for _ in range(20))
+    draws = [sum(quantile(values, 0, 100, 0.5, 20.0)) / 2 for _ in range(200)]
+    assert 40 < sum(draws) / 200 < 60
+    assert quantile([], 2, 3, 0.5, math.inf) == (2, 3)
+    # Without values the weight is the width alone.
+    a, b = gap_weights(np.zeros(20000), np.tile([1.0, 3.0], 10000), np.zeros(20000), 0.5, 1.0, 1.0)
+    assert abs((a[1::2] > a[::2]).mean() - 0.75) < 0.03 and not b.any()
+    u = uniform(10000)
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.03
 
 
 def test_bounds():

@@ -1,13 +1,24 @@
 """Approximate nearest neighbours by NN-descent, queried by greedy graph search.
 
-Equal vectors are one node.  A first graph comes from exact joins of small blocks of
-vectors that lie next to each other on random projections.  Then each round of
-NN-descent joins the graph with itself: a node's neighbours, and the nodes that have
-it as neighbour, meet at the node and are told of each other where that is nearer
-than what they have.  Rounds end when one changes at most a share SETTLED of all
-neighbours, however many it takes.  A query starts at its own node's neighbours and
-expands the nearest ones not yet expanded, until all of its BEAM nearest are, so that
-they stay the same; distances of the answer are taken anew in double precision.
+Equal vectors are one node.  Nodes lie in parts of at most PART, in the order of random
+projections; a node's number is its part and its place there, and all joins are between
+parts: what a part needs of another one is asked for and answered in packed arrays.
+
+A first graph comes from exact joins of leaves of TREES trees of random projections.
+Then each round of NN-descent joins the graph with itself: a node's neighbours, and the
+nodes that have it as neighbour, meet at the node and are told of each other where that
+is nearer than what they have.  Of two that meet one at least is new there.  Rounds end
+when one changes at most a share SETTLED of all neighbours, however many it takes.
+
+A query starts at its own node's neighbours and expands the nearest ones not yet
+expanded, until all of its `beam` nearest are, so that they stay the same.  Then recall
+is measured: SAMPLE of the queries are held against all nodes, exactly; while their
+recall is below TARGET, the graph gets another round, the beam is doubled and all
+queries search again, up to a beam of all nodes.  Answers are scored anew in double
+precision on the original vectors.
+
+Bounds: directions are centred by CENTRE vectors, chosen by a hash of vec_id; MEET, LEAF
+and NEIGHBOURS bound what is compared in a round, never what takes part.
 
 Contract for odd rows: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do null vec_ids, nor vectors of another length than the
@@ -16,7 +27,7 @@ ranked by vec_id; extra columns are not read; an empty table gives none."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +35,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import default_partitions, drop_table, materialize, pick, read_table, salted_lookup
+from .kernels import U64, mix
 
 TOP, EVERY = 20, 20
-#: Neighbours in the graph; vectors in a first block; projections.
-NEIGHBOURS, BLOCK, PROJECTIONS = 48, 1024, 8
+#: Neighbours in the graph; vectors in a leaf; trees.
+NEIGHBOURS, LEAF, TREES = 48, 2048, 8
+#: Nodes in a part at most, and parts at least while they have SMALL nodes.
+SHIFT, PARTS, SMALL = 12, 24, 256
+CENTRE = 2048
 #: Share of changed neighbours at which the graph is settled.
-SETTLED = 0.001
-#: Neighbours either way that meet at a node; news that a meeting sends to each.
-MEET, NEWS = 20, 12
-#: Answers that a search keeps, and nodes it expands in a round.
-BEAM, EXPAND = 96, 24
-_LISTS = "id long, ids binary, sims binary"
+SETTLED = 0.1
+#: New, and old, neighbours either way that meet at a node.
+MEET = 12
+#: Answers that a search keeps, and nodes that it expands in a round.
+BEAM, EXPAND = 128, 64
+#: Answers that are scored in double precision.
+FINAL = 48
+#: Queries whose recall is measured, and what it must reach.
+SAMPLE, TARGET = 128, 0.95
+
+_LOCAL = (1 << SHIFT) - 1
+_NODES = "part long, own binary, vec binary, asked binary"
+_STATE = _NODES + ", ids binary, sims binary, fresh binary, changed long"
+_SEARCH = "part long, q binary, qid binary, qvec binary, ids binary, sims binary, done binary, todo long"
+_I64, _I32, _F32, _BIN, _U8 = np.int64, np.int32, np.float32, pa.binary(), np.uint8
 
 
 def vectors(table: DataFrame) -> DataFrame:
@@ -48,257 +72,565 @@ def vectors(table: DataFrame) -> DataFrame:
     return t.where(F.size("embedding") == sizes[0]["d"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def _matrix(col: pa.Array, dtype) -> np.ndarray:
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    raw = col.to_pylist()
-    return np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1) if raw else np.zeros((0, 1), dtype)
+# packed arrays
 
 
-def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of some neighbours, each once."""
-    o = np.lexsort((ids, -sims))
-    ids, sims = ids[o], sims[o]
-    _, first = np.unique(ids, return_index=True)
-    first = np.sort(first)[:k]
-    return ids[first], sims[first]
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    """Rows of longs, ints and arrays (as binary) under a DDL schema of long, int and binary."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": _BIN}
+    cols = zip(*rows, strict=True) if rows else ([] for _ in names)
+    return pa.table({n: pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in c], types[k]) for n, k, c in zip(names, kinds, cols, strict=True)})
 
 
-def _lists(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].astype(np.int64).tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.float32).tobytes() for r in rows], pa.binary())], names=["id", "ids", "sims"])
+def _all(t: pa.Table, name: str, dtype) -> np.ndarray:
+    """A binary column's arrays, one after the other."""
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype)
 
 
-def nodes(vecs: DataFrame) -> DataFrame:
-    """(id, vec): each different vector once, as 4-byte floats; id is its least vec_id."""
+def _records(t, *names: str) -> Iterator[tuple]:
+    return zip(*(t.column(n).to_pylist() for n in names), strict=True)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.Table]], schema: str) -> DataFrame:
+    def run(batches):
         for b in batches:
-            flat = np.asarray(b.column("embedding").flatten().to_numpy(zero_copy_only=False), np.float32).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in flat], pa.binary())], names=["id", "vec"])
-
-    return vecs.groupBy("embedding").agg(F.min("vec_id").alias("id")).select("id", "embedding").mapInArrow(pack, "id long, vec binary")
-
-
-def first_graph(table: DataFrame, dim: int, k: int, size: int) -> DataFrame:
-    """Lists from blocks on PROJECTIONS random projections."""
-    n = max(1, min(default_partitions(table.sparkSession), size // BLOCK) if size < BLOCK * 4096 else size // (8 * BLOCK))
-    rng = np.random.default_rng(17)
-    out = None
-    for _ in range(PROJECTIONS):
-        axis = rng.normal(size=dim).astype(np.float32)
-
-        def project(batches, axis=axis):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(_matrix(b.column("vec"), np.float32) @ axis, pa.float32())] if b.num_rows else [b.column("id"), b.column("vec"), pa.array([], pa.float32())], names=["id", "vec", "p"])
-
-        def block(batches):
-            ids, vecs = [], []
-
-            def flush():
-                m = np.frombuffer(b"".join(vecs), np.float32).reshape(len(vecs), -1)
-                a = np.array(ids, np.int64)
-                s = m @ m.T
-                np.fill_diagonal(s, -np.inf)
-                kk = min(k, len(a) - 1)
-                near = np.argpartition(-s, kk - 1, axis=1)[:, :kk] if kk > 0 else np.zeros((len(a), 0), int)
-                return _lists([(int(a[i]), a[near[i]], s[i, near[i]]) for i in range(len(a))])
-
-            for b in batches:
-                for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist(), strict=True):
-                    ids.append(i)
-                    vecs.append(v)
-                    if len(ids) == BLOCK:
-                        yield flush()
-                        ids, vecs = [], []
-            if ids:
-                yield flush()
-
-        dealt = table.mapInArrow(project, "id long, vec binary, p float").repartitionByRange(n, "p").sortWithinPartitions("p")
-        got = dealt.mapInArrow(block, _LISTS)
-        out = got if out is None else out.union(got)
-    return merge(out, k, size)
-
-
-def merge(lists: DataFrame, k: int, n: int) -> DataFrame:
-    """One list a node (there are n): the k nearest of all of its lists (each of at most k,
-    a bounded number for each node: those of projections, and of the meetings it was at)."""
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, sims = (np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()]) for c, d in (("ids", np.int64), ("sims", np.float32)))
-        own = np.repeat(np.array(t.column("id").to_pylist(), np.int64), [len(x) // 8 for x in t.column("ids").to_pylist()])
-        o = np.lexsort((ids, -sims, own))
-        own, ids, sims = own[o], ids[o], sims[o]
-        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
-        rows = []
-        for x, y in zip(at, np.append(at[1:], len(own)), strict=True):
-            rows.append((int(own[x]), *_top(ids[x:y], sims[x:y], k)))
-        return pa.Table.from_batches([_lists(rows)])
+            if b.num_rows:
+                for t in f(b):
+                    yield from t.to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+def _join(a: DataFrame, b: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    return a.groupBy("part").cogroup(b.groupBy("part")).applyInArrow(f, schema)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _rank(*keys: np.ndarray) -> np.ndarray:
+    """Place in its run of equal keys."""
+    n, s = len(keys[0]), _starts(*keys)
+    return np.arange(n) - np.repeat(s, np.diff(np.append(s, n)))
+
+
+def _by_part(gids: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Parts of ascending node numbers, and where they stand."""
+    p = gids >> SHIFT
+    at = [*_starts(p).tolist(), len(p)]
+    for x, y in zip(at, at[1:]):
+        yield int(p[x]), slice(x, y)
+
+
+def _once(u: np.ndarray, v: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Places of each pair (u, v) once, in order; of equal ones that with the least `late`."""
+    o = np.lexsort((late, v, u))
+    return o[_starts(u[o], v[o])]
+
+
+def _nearest(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k of greatest s of each u (least v first), by u, and their ranks."""
+    o = np.lexsort((v, -s, u))
+    r = _rank(u[o])
+    keep = r < k
+    return o[keep], r[keep]
 
-    parts = max(default_partitions(lists.sparkSession), n // 2000)
-    return lists.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("_part").applyInArrow(run, _LISTS)
 
+def _lists(n: int, k: int, u: np.ndarray, v: np.ndarray, s: np.ndarray, flag: np.ndarray, late: np.ndarray):
+    """n lists of the k nearest: ids (-1 where there are fewer), sims, flags, and how many are `late`."""
+    o = _once(u, v, late)
+    u, v, s, flag, late = u[o], v[o], s[o], flag[o], late[o]
+    o, r = _nearest(u, v, s, k)
+    ids, sims, flags = np.full((n, k), -1, _I64), np.full((n, k), -np.inf, _F32), np.zeros((n, k), _U8)
+    ids[u[o], r], sims[u[o], r], flags[u[o], r] = v[o], s[o], flag[o]
+    return ids, sims, flags, int(late[o].sum())
 
-def _exploded(graph: DataFrame) -> DataFrame:
-    """(id, other, sim, rank) of each list."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# nodes and the first graph
+
+
+def _axes(dim: int, levels: int, tree: int) -> np.ndarray:
+    a = np.random.default_rng(17 + tree).normal(size=(dim, levels + 1))
+    return (np.linalg.qr(a)[0] if levels < dim else a).astype(_F32)
+
+
+def _code(vec: np.ndarray, centre: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The side of the centre on each axis but the last as bits, and the place on the last."""
+    p = (vec - centre) @ axes
+    return (p[:, :-1] > 0) @ (1 << np.arange(axes.shape[1] - 2, -1, -1, dtype=_I64)), p[:, -1]
+
+
+def _levels(size: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, size) / LEAF))))
+
+
+def nodes(vecs: DataFrame, dim: int, every: int) -> DataFrame:
+    """Parts of nodes: the least vec_id of each different vector, the vector as 4-byte
+    floats, and whether it is asked for."""
+    chosen = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE).select("embedding").collect()  # a bounded sample
+    centre = np.mean(np.array([r[0] for r in chosen], float), 0).astype(_F32)
+    distinct = materialize(vecs.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.max(F.when(F.col("vec_id") % every == 0, 1).otherwise(0)).alias("asked")), "ann-distinct")
+    size = distinct.count()
+    axes = _axes(dim, _levels(size) + 4, 0)
+    per = min(1 << SHIFT, max(SMALL, -(-size // PARTS)))
+    n = max(1, min(default_partitions(vecs.sparkSession), size // per) if size < per * 4096 else size // (16 * per))
+
+    def project(batches):
         for b in batches:
-            ids = [np.frombuffer(x, np.int64) for x in b.column("ids").to_pylist()]
-            sims = [np.frombuffer(x, np.float32) for x in b.column("sims").to_pylist()]
-            lens = np.array([len(x) for x in ids], int)
-            if lens.sum():
-                own = np.repeat(np.array(b.column("id").to_pylist(), np.int64), lens)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sims)), pa.array(np.concatenate([np.arange(n) for n in lens]).astype(np.int32))], names=["id", "other", "sim", "rank"])
-
-    return graph.mapInArrow(run, "id long, other long, sim float, rank int")
-
-
-def descend(graph: DataFrame, table: DataFrame, k: int, seed: int, size: int) -> DataFrame:
-    """One round: the news of all meetings, and what each node had."""
-    e = materialize(_exploded(graph).withColumn("draw", F.xxhash64(F.lit(seed), "id", "other")), "ann-edges")
-    # Half of those that meet are the nearest, half are drawn: both ways, bounded for hubs too.
-    ahead = e.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.when(F.col("rank") < MEET // 2, F.col("rank")).otherwise(MEET), "draw"))).where(F.col("nth") <= MEET).select(F.col("id").alias("at"), F.col("other").alias("who"))
-    back = e.withColumn("nth", F.row_number().over(Window.partitionBy("other").orderBy("draw", "id"))).where(F.col("nth") <= MEET).select(F.col("other").alias("at"), F.col("id").alias("who"))
-    worst = graph.select("id", F.conv(F.hex(F.reverse(F.substring("sims", -4, 4))), 16, 10).cast("long").alias("_bits"), F.octet_length("sims").alias("_n"))
-    lean = table.join(worst, "id", "left").select(F.col("id").alias("who"), "vec", (F.col("_n") >= 4 * k).alias("full"), F.col("_bits").alias("bits"))
-    meet = ahead.union(back).distinct().join(lean, "who")
-    meet = meet.withColumn("part", F.pmod(F.xxhash64("at"), F.lit(max(default_partitions(graph.sparkSession), size * 2 * MEET // 40_000))))
-
-    def run(t: pa.Table) -> pa.Table:
-        at = np.array(t.column("at").to_pylist(), np.int64)
-        o = np.argsort(at, kind="stable")
-        at, who, vec = at[o], np.array(t.column("who").to_pylist(), np.int64)[o], _matrix(t.column("vec"), np.float32)[o]
-        full = np.array(t.column("full").to_pylist(), object)[o] == True  # noqa: E712
-        bits = np.array([x or 0 for x in t.column("bits").to_pylist()], np.uint32)[o]
-        least = np.where(full, bits.view(np.float32), -np.inf).astype(np.float32)
-        s = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        rows = []
-        for x, y in zip(s, np.append(s[1:], len(at)), strict=True):
-            v = vec[x:y]
-            sim = v @ v.T
-            np.fill_diagonal(sim, -np.inf)
-            sim[sim <= least[x:y, None]] = -np.inf
-            order = np.argsort(-sim, axis=1)[:, :NEWS]
-            for i in range(y - x):
-                near = order[i][sim[i, order[i]] > -np.inf]
-                if len(near):
-                    rows.append((int(who[x + i]), who[x:y][near], sim[i, near]))
-        return pa.Table.from_batches([_lists(rows)])
-
-    news = meet.groupBy("part").applyInArrow(run, _LISTS)
-    out = materialize(merge(graph.union(news), k, size), "ann-graph")
-    drop_table(e)
-    return out
+            if b.num_rows:
+                flat = np.asarray(b.column("embedding").flatten().to_numpy(zero_copy_only=False), _F32).reshape(b.num_rows, -1)
+                code, p = _code(flat, centre, axes)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("asked"), pa.array([x.tobytes() for x in flat], _BIN), pa.array(code), pa.array(p)], names=["id", "asked", "vec", "code", "p"])
 
+    def cut(batches):
+        from pyspark import TaskContext
 
-def changed(graph: DataFrame, before: DataFrame) -> float:
-    """Share of the neighbours in `graph` that their nodes didn't have `before`."""
+        first, k = TaskContext.get().partitionId() << 20, 0
+        ids, vecs_, asked = [], [], []
+        for b in batches:
+            for i, v, a in _records(b, "id", "vec", "asked"):
+                ids.append(i)
+                vecs_.append(v)
+                asked.append(a)
+                if len(ids) == per:
+                    yield from _table(_NODES, [(first + k, np.array(ids, _I64), b"".join(vecs_), np.array(asked, _U8))]).to_batches()
+                    ids, vecs_, asked, k = [], [], [], k + 1
+        if ids:
+            yield from _table(_NODES, [(first + k, np.array(ids, _I64), b"".join(vecs_), np.array(asked, _U8))]).to_batches()
+
+    rows = distinct.select("id", "asked", "embedding").mapInArrow(project, "id long, asked int, vec binary, code long, p float")
+    parts = rows.repartitionByRange(n, "code", "p", "id").sortWithinPartitions("code", "p", "id").select("id", "asked", "vec").mapInArrow(cut, _NODES)
+    return materialize(parts, "ann-nodes")
+
+
+def first_graph(table: DataFrame, dim: int, size: int, k: int = NEIGHBOURS) -> DataFrame:
+    """State of the parts in `table`: lists from the leaves of TREES trees."""
+    levels, trees = _levels(size), TREES
+    spark = table.sparkSession
+    centre = _centre(table, dim)
+    blocks = size * trees // LEAF
+    n = max(1, min(max(default_partitions(spark), blocks // 16), blocks))
+
+    def project(b):
+        for part, vec in _records(b, "part", "vec"):
+            m = np.frombuffer(vec, _F32).reshape(-1, dim)
+            gid, raw = part << SHIFT | np.arange(len(m)), pa.array([x.tobytes() for x in m], _BIN)
+            for t in range(trees):
+                code, p = _code(m, centre, _axes(dim, levels, t))
+                yield pa.table({"tree": pa.array(np.full(len(m), t, _I32)), "code": pa.array(code), "p": pa.array(p), "gid": pa.array(gid), "vec": raw})
+
+    def leaf(gid: np.ndarray, m: np.ndarray) -> pa.Table:
+        o = np.argsort(gid)
+        gid, m = gid[o], m[o]
+        kk = min(k, len(gid) - 1)
+        ids, sims = np.full((len(gid), k), -1, _I64), np.full((len(gid), k), -np.inf, _F32)
+        for x in range(0, len(gid) if kk > 0 else 0, 512):
+            s = m[x : x + 512] @ m.T
+            i = np.arange(len(s))
+            s[i, x + i] = -np.inf
+            near = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+            ids[x : x + len(s), :kk], sims[x : x + len(s), :kk] = gid[near], np.take_along_axis(s, near, 1)
+        return _table("part long, u binary, ids binary, sims binary", [(p, (gid[at] & _LOCAL).astype(_I32), ids[at], sims[at]) for p, at in _by_part(gid)])
+
+    def leaves(batches):
+        tree, gids, vecs = -1, [], []
+
+        def flush():
+            return leaf(np.array(gids, _I64), np.frombuffer(b"".join(vecs), _F32).reshape(-1, dim)).to_batches()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = [(np.frombuffer(x, np.int64), np.frombuffer(y or b"", np.int64)) for x, y in zip(b.column("ids").to_pylist(), b.column("was").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int((~np.isin(x, y)).sum()) for x, y in pairs)], pa.int64()), pa.array([sum(len(x) for x, _ in pairs)], pa.int64())], names=["new", "all"])
+            for t, g, v in _records(b, "tree", "gid", "vec"):
+                if gids and (t != tree or len(gids) == LEAF):
+                    yield from flush()
+                    gids, vecs = [], []
+                tree = t
+                gids.append(g)
+                vecs.append(v)
+        if gids:
+            yield from flush()
+
+    def start(t: pa.Table, lists: pa.Table) -> pa.Table:
+        m = len(t.column("own")[0].as_py()) // 8
+        u = np.repeat(_all(lists, "u", _I32).astype(_I64), k)
+        v, s = _all(lists, "ids", _I64), _all(lists, "sims", _F32)
+        ok = v >= 0
+        zero = np.zeros(int(ok.sum()), _U8)
+        ids, sims, _, _ = _lists(m, k, u[ok], v[ok], s[ok], zero, zero)
+        part, own, vec, asked = next(_records(t, "part", "own", "vec", "asked"))
+        return _table(_STATE, [(part, own, vec, asked, ids, sims, (ids >= 0).astype(_U8), m * k)])
+
+    rows = _map(table.select("part", "vec"), project, "tree int, code long, p float, gid long, vec binary")
+    order = ("tree", "code", "p", "gid")
+    lists = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(leaves, "part long, u binary, ids binary, sims binary")
+    return materialize(_join(table, lists, start, _STATE), "ann-graph")
+
+
+def _centre(table: DataFrame, dim: int) -> np.ndarray:
+    """Mean of the first vectors of CENTRE parts, by a hash of the part."""
+    got = table.orderBy(F.xxhash64("part"), "part").limit(CENTRE).select(F.substring("vec", 1, 4 * dim * 16).alias("v")).collect()
+    return np.concatenate([np.frombuffer(r[0], _F32).reshape(-1, dim) for r in got]).mean(0)
+
+
+# rounds
+
+
+def _draws(u: np.ndarray, v: np.ndarray, seed: int) -> np.ndarray:
+    return mix(mix(u.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) ^ v.astype(U64))
+
+
+def _chosen(part: int, ids: np.ndarray, fresh: np.ndarray, seed: int, meet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the new and of the old neighbours that a node brings to its own meeting."""
+    gid = part << SHIFT | np.arange(len(ids))
+    draw = _draws(np.repeat(gid, ids.shape[1]), ids.ravel(), seed).reshape(ids.shape) >> U64(1)
+    out = []
+    for want in (1, 0):
+        d = np.where((ids >= 0) & (fresh == want), draw, U64(1 << 63))
+        at = np.argsort(d, axis=1)[:, :meet]
+        mask = np.zeros(ids.shape, bool)
+        np.put_along_axis(mask, at, np.take_along_axis(d, at, 1) < U64(1 << 63), 1)
+        out.append(mask)
+    return out[0], out[1]
+
+
+def _limited(at: np.ndarray, who: np.ndarray, new: np.ndarray, draw: np.ndarray, meet: int) -> np.ndarray:
+    """Places, by `at`, of at most `meet` new and as many old ones for each."""
+    o = np.lexsort((draw, new, at))
+    return o[_rank(at[o], new[o]) < meet]
+
+
+def descend(state: DataFrame, dim: int, seed: int, k: int = NEIGHBOURS, meet: int = MEET) -> DataFrame:
+    """One round: what nodes had and the news of all meetings."""
+
+    def tell(b):
+        """Neighbours are told who has them; a part sends at most `meet` of a kind for each."""
+        rows = []
+        for part, ids, fresh in _records(b, "part", "ids", "fresh"):
+            ids = np.frombuffer(ids, _I64).reshape(-1, k)
+            fresh = np.frombuffer(fresh, _U8).reshape(-1, k)
+            ok = ids >= 0
+            u, v, f = np.nonzero(ok)[0] + (part << SHIFT), ids[ok], fresh[ok]
+            o = _limited(v, u, f, _draws(u, v, seed), meet)
+            u, v, f = u[o], v[o], f[o]
+            rows += [(p, (v[at] & _LOCAL).astype(_I32), u[at], f[at]) for p, at in _by_part(v)]
+        yield _table("part long, at binary, who binary, new binary", rows)
+
+    def meet_(t: pa.Table, told: pa.Table) -> pa.Table:
+        part, ids, fresh = next(_records(t, "part", "ids", "fresh"))
+        ids = np.frombuffer(ids, _I64).reshape(-1, k)
+        new, old = _chosen(part, ids, np.frombuffer(fresh, _U8).reshape(-1, k), seed, meet)
+        at, who, f = _all(told, "at", _I32).astype(_I64), _all(told, "who", _I64), _all(told, "new", _U8)
+        o = _limited(at, who, f, _draws(who, at + (part << SHIFT), seed), meet)
+        at = np.concatenate([at[o], np.nonzero(new)[0], np.nonzero(old)[0]])
+        who = np.concatenate([who[o], ids[new], ids[old]])
+        f = np.concatenate([f[o], np.ones(int(new.sum()), _U8), np.zeros(int(old.sum()), _U8)])
+        o = _once(at, who, 1 - f)
+        at, who, f = at[o], who[o], f[o]
+        some = np.bincount(at, f, minlength=len(ids))[at] > 0
+        return _table("part long, at binary, who binary, new binary", [(part, at[some].astype(_I32), who[some], f[some])])
+
+    def ask(b):
+        rows = []
+        for part, who in _records(b, "part", "who"):
+            w = np.unique(np.frombuffer(who, _I64))
+            rows += [(p, part, w[at]) for p, at in _by_part(w)]
+        yield _table("part long, back long, who binary", rows)
+
+    def serve(t: pa.Table, asks: pa.Table) -> pa.Table:
+        vec, sims = next(_records(t, "vec", "sims"))
+        vec, worst = np.frombuffer(vec, _F32).reshape(-1, dim), np.frombuffer(sims, _F32).reshape(-1, k)[:, -1]
+        rows = []
+        for back, who in _records(asks, "back", "who"):
+            at = np.frombuffer(who, _I64) & _LOCAL
+            rows.append((back, who, vec[at], worst[at]))
+        return _table("part long, who binary, vec binary, worst binary", rows)
+
+    def news(met: pa.Table, served: pa.Table) -> pa.Table:
+        out = "part long, u binary, v binary, s binary"
+        if not met.num_rows or not served.num_rows:
+            return _table(out, [])
+        at, who, new = _all(met, "at", _I32), _all(met, "who", _I64), _all(met, "new", _U8).astype(bool)
+        w, vec = _all(served, "who", _I64), _all(served, "vec", _F32).reshape(-1, dim)
+        worst = np.append(_all(served, "worst", _F32), np.float32(np.inf))
+        vec, order = np.concatenate([vec, np.zeros((1, dim), _F32)]), np.argsort(w)
+        place = order[np.searchsorted(w[order], who)]
+        s, r = _starts(at), _rank(at)
+        row = np.repeat(np.arange(len(s)), np.diff(np.append(s, len(at))))
+        got = []
+        for x in range(0, len(s), 256):  # so many meetings at a time, all padded to one size
+            here = slice(int(s[x]), int(s[x + 256]) if x + 256 < len(s) else len(at))
+            size = int(r[here].max()) + 1
+            idx, fresh = np.full((min(256, len(s) - x), size), len(w)), np.zeros((min(256, len(s) - x), size), bool)
+            idx[row[here] - x, r[here]], fresh[row[here] - x, r[here]] = place[here], new[here]
+            v = vec[idx]
+            sim = v @ v.transpose(0, 2, 1)
+            bar = worst[idx]
+            ok = (sim > np.minimum(bar[:, :, None], bar[:, None, :])) & (fresh[:, :, None] | fresh[:, None, :]) & np.triu(np.ones((size, size), bool), 1)
+            m, i, j = np.nonzero(ok & (idx < len(w))[:, :, None] & (idx < len(w))[:, None, :])
+            a, b_, c = idx[m, i], idx[m, j], sim[m, i, j]
+            for x_, y_ in ((a, b_), (b_, a)):
+                near = c > worst[x_]
+                got.append((w[x_[near]], w[y_[near]], c[near]))
+        u, v, c = (np.concatenate(z) for z in zip(*got, strict=True)) if got else (np.zeros(0, _I64), np.zeros(0, _I64), np.zeros(0, _F32))
+        o = _once(u, v, np.zeros(len(u), _U8))
+        u, v, c = u[o], v[o], c[o]
+        o, _ = _nearest(u, v, c, k)
+        u, v, c = u[o], v[o], c[o]
+        return _table(out, [(p, (u[at_] & _LOCAL).astype(_I32), v[at_], c[at_].astype(_F32)) for p, at_ in _by_part(u)])
+
+    def merge(t: pa.Table, told: pa.Table) -> pa.Table:
+        part, own, vec, asked, ids, sims, fresh = next(_records(t, "part", "own", "vec", "asked", "ids", "sims", "fresh"))
+        ids, sims, fresh = (np.frombuffer(x, d).reshape(-1, k) for x, d in ((ids, _I64), (sims, _F32), (fresh, _U8)))
+        met, _ = _chosen(part, ids, fresh, seed, meet)
+        ok = ids >= 0
+        u, v, s = _all(told, "u", _I32).astype(_I64), _all(told, "v", _I64), _all(told, "s", _F32)
+        flag = np.concatenate([np.where(met, 0, fresh)[ok], np.ones(len(u), _U8)]).astype(_U8)
+        late = np.concatenate([np.zeros(int(ok.sum()), _U8), np.ones(len(u), _U8)])
+        got = _lists(len(ids), k, np.concatenate([np.nonzero(ok)[0], u]), np.concatenate([ids[ok], v]), np.concatenate([sims[ok], s]), flag, late)
+        return _table(_STATE, [(part, own, vec, asked, *got)])
+
+    told = _map(state.select("part", "ids", "fresh"), tell, "part long, at binary, who binary, new binary")
+    met = materialize(_join(state.select("part", "ids", "fresh"), told, meet_, "part long, at binary, who binary, new binary"), "ann-met")
+    asks = _map(met.select("part", "who"), ask, "part long, back long, who binary")
+    served = _join(state.select("part", "vec", "sims"), asks, serve, "part long, who binary, vec binary, worst binary")
+    told = _join(met, served, news, "part long, u binary, v binary, s binary")
+    out = materialize(_join(state, told, merge, _STATE), "ann-graph")
+    drop_table(met)
+    return out
 
-    pairs = graph.select("id", "ids").join(before.select("id", F.col("ids").alias("was")), "id", "left")
-    got = pairs.mapInArrow(run, "new long, all long").agg(F.sum("new"), F.sum("all")).first()
-    return (got[0] or 0) / max(1, got[1] or 0)
 
+def changed(state: DataFrame, size: int, k: int = NEIGHBOURS) -> float:
+    """Share of the neighbours that the last round brought."""
+    return (state.agg(F.sum("changed")).first()[0] or 0) / max(1, size * min(k, size - 1))
 
-def neighbour_graph(table: DataFrame, dim: int, k: int = NEIGHBOURS) -> DataFrame:
-    """Rounds until the graph is settled; lists only get nearer, so it comes to that."""
-    size = table.count()
-    graph = materialize(first_graph(table, dim, k, size), "ann-graph")
-    r = 0
+
+def neighbour_graph(table: DataFrame, dim: int, size: int) -> DataFrame:
+    """Rounds until the graph is settled; lists only get nearer, so it comes to that.  The
+    first round's share is left out: half of what it could bring has not met yet."""
+    state, r = first_graph(table, dim, size), 0
     while True:
-        before, graph = graph, descend(graph, table, k, r, size)
-        share = changed(graph, before)
+        before, state = state, descend(state, dim, r)
         drop_table(before)
-        if share <= SETTLED:
-            return graph
+        share = changed(state, size)
         r += 1
+        if share == 0 or (r > 1 and share <= SETTLED):
+            return state
 
 
-def search(queries: DataFrame, graph: DataFrame, table: DataFrame, beam: int = BEAM) -> DataFrame:
-    """Greedy search for the nodes `queries` (id): lists of up to `beam` nodes, nearest first."""
-    q = queries.join(table, "id").select(F.col("id").alias("q"), F.col("vec").alias("qvec"))
-    mine = graph.join(queries, "id")
-    state = materialize(mine.select(F.col("id").alias("q"), "ids", "sims", F.lit(b"").alias("done")), "ann-search")
-    schema = "q long, ids binary, sims binary, done binary"
-    parts = max(default_partitions(graph.sparkSession), queries.count() // 200)
-    while True:  # a node is expanded once for a query at most
-
-        def frontier(batches):
-            for b in batches:
-                qs, nodes_ = [], []
-                for one, ids, done in zip(*(b.column(c).to_pylist() for c in ("q", "ids", "done")), strict=True):
-                    i = np.frombuffer(ids, np.int64)
-                    new = i[~np.isin(i, np.frombuffer(done, np.int64))][:EXPAND]
-                    qs += [one] * len(new)
-                    nodes_ += new.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(nodes_, pa.int64())], names=["q", "id"])
-
-        grow = materialize(state.mapInArrow(frontier, "q long, id long"), "ann-frontier")
-        if grow.isEmpty():
-            drop_table(grow)
-            break
-        seen = _exploded(state.select(F.col("q").alias("id"), "ids", "sims")).select(F.col("id").alias("q"), F.col("other").alias("c"))
-        found = _exploded(grow.join(graph, "id").select(F.struct("q").alias("s"), "ids", "sims", F.col("q").alias("id")).select("id", "ids", "sims")).select(F.col("id").alias("q"), F.col("other").alias("c")).distinct()
-        found = found.join(seen, ["q", "c"], "left_anti").where("q <> c").join(table.withColumnRenamed("id", "c"), "c")
-
-        def score(t: pa.Table) -> pa.Table:
-            qs = t.column("q").to_pylist()
-            kind = t.column("kind").to_pylist()
-            out = []
-            o = sorted(range(len(qs)), key=lambda i: (qs[i], kind[i]))
-            cs, vec, ids, sims, done = (t.column(c).to_pylist() for c in ("c", "vec", "ids", "sims", "done"))
-            x = 0
-            while x < len(o):
-                y = x
-                while y < len(o) and qs[o[y]] == qs[o[x]]:
-                    y += 1
-                rows = o[x:y]
-                head = next(i for i in rows if kind[i] == 0)
-                new = [i for i in rows if kind[i] == 1]
-                i, d = np.frombuffer(ids[head], np.int64), np.frombuffer(sims[head], np.float32)
-                left = i[~np.isin(i, np.frombuffer(done[head], np.int64))][:EXPAND]
-                if new:
-                    m = np.frombuffer(b"".join(vec[k] for k in new), np.float32).reshape(len(new), -1)
-                    i = np.concatenate([i, np.array([cs[k] for k in new], np.int64)])
-                    d = np.concatenate([d, m @ np.frombuffer(vec[head], np.float32)])
-                ii, dd = _top(i, d, beam)
-                out.append((qs[head], ii.tobytes(), dd.astype(np.float32).tobytes(), done[head] + left.tobytes()))
-                x = y
-            return pa.table({n: pa.array([r[k] for r in out], ty) for k, (n, ty) in enumerate((("q", pa.int64()), ("ids", pa.binary()), ("sims", pa.binary()), ("done", pa.binary())))})
-
-        heads = state.join(q, "q").select("q", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("c"), F.col("qvec").alias("vec"), "ids", "sims", "done")
-        empty = F.lit(None).cast("binary")
-        both = heads.union(found.select("q", F.lit(1), "c", "vec", empty, empty, empty)).withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
-        before, state = state, materialize(both.groupBy("part").applyInArrow(score, schema), "ann-search")
+# search
+
+
+def _frontier(ids: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """Mask of the nodes that searches expand next."""
+    open_ = (ids >= 0) & (done == 0)
+    return open_ & (np.cumsum(open_, axis=1) <= EXPAND)
+
+
+def begin(state: DataFrame, dim: int, beam: int, k: int = NEIGHBOURS) -> DataFrame:
+    """Searches of the nodes that are asked for, in the parts of the nodes."""
+
+    def run(b):
+        rows = []
+        for part, own, vec, asked, ids, sims in _records(b, "part", "own", "vec", "asked", "ids", "sims"):
+            at = np.flatnonzero(np.frombuffer(asked, _U8))
+            if len(at):
+                ids, sims = np.frombuffer(ids, _I64).reshape(-1, k)[at], np.frombuffer(sims, _F32).reshape(-1, k)[at]
+                wide, far = np.full((len(at), beam), -1, _I64), np.full((len(at), beam), -np.inf, _F32)
+                wide[:, :k], far[:, :k] = ids[:, :beam], sims[:, :beam]
+                rows.append((part, at + (part << SHIFT), np.frombuffer(own, _I64)[at], np.frombuffer(vec, _F32).reshape(-1, dim)[at], wide, far, np.zeros(wide.shape, _U8), int((wide >= 0).sum())))
+        yield _table(_SEARCH, rows)
+
+    return materialize(_map(state.select("part", "own", "vec", "asked", "ids", "sims"), run, _SEARCH), "ann-search")
+
+
+def step(found: DataFrame, state: DataFrame, dim: int, beam: int, k: int = NEIGHBOURS) -> DataFrame:
+    """All searches expand their frontier."""
+    pairs = "part long, qi binary, c binary"
+
+    def ask(b):
+        rows = []
+        for part, ids, done in _records(b, "part", "ids", "done"):
+            ids = np.frombuffer(ids, _I64).reshape(-1, beam)
+            mask = _frontier(ids, np.frombuffer(done, _U8).reshape(-1, beam))
+            qi, node = np.nonzero(mask)[0], ids[mask]
+            o = np.argsort(node, kind="stable")
+            qi, node = qi[o].astype(_I32), node[o]
+            rows += [(p, part, qi[at], (node[at] & _LOCAL).astype(_I32)) for p, at in _by_part(node)]
+        yield _table("part long, back long, qi binary, node binary", rows)
+
+    def expand(t: pa.Table, asks: pa.Table) -> pa.Table:
+        rows = []
+        if asks.num_rows:
+            lists = np.frombuffer(t.column("ids")[0].as_py(), _I64).reshape(-1, k)
+            for back, qi, node in _records(asks, "back", "qi", "node"):
+                c = lists[np.frombuffer(node, _I32)]
+                qi = np.repeat(np.frombuffer(qi, _I32), k)[c.ravel() >= 0]
+                c = c[c >= 0]
+                o = _once(qi, c, np.zeros(len(c), _U8))
+                rows.append((back, qi[o], c[o]))
+        return _table(pairs, rows)
+
+    def gather(t: pa.Table, told: pa.Table) -> pa.Table:
+        """New candidates of each search, and its vector, to the candidates' parts."""
+        out = "part long, back long, qi binary, c binary, uq binary, qvec binary"
+        if not told.num_rows:
+            return _table(out, [])
+        part, q, qvec, ids = next(_records(t, "part", "q", "qvec", "ids"))
+        q, qvec, ids = np.frombuffer(q, _I64), np.frombuffer(qvec, _F32).reshape(-1, dim), np.frombuffer(ids, _I64).reshape(-1, beam)
+        ok = ids >= 0
+        qi, c = _all(told, "qi", _I32).astype(_I64), _all(told, "c", _I64)
+        u, v = np.concatenate([np.nonzero(ok)[0], np.arange(len(q)), qi]), np.concatenate([ids[ok], q, c])
+        late = np.concatenate([np.zeros(len(u) - len(qi), _U8), np.ones(len(qi), _U8)])
+        o = _once(u, v, late)
+        o = o[late[o] == 1]
+        o = o[np.argsort(v[o], kind="stable")]
+        qi, c, rows = u[o].astype(_I32), v[o], []
+        for p, at in _by_part(c):
+            uq, place = np.unique(qi[at], return_inverse=True)
+            rows.append((p, part, place.astype(_I32), (c[at] & _LOCAL).astype(_I32), uq, qvec[uq]))
+        return _table(out, rows)
+
+    def score(t: pa.Table, asks: pa.Table) -> pa.Table:
+        rows = []
+        if asks.num_rows:
+            part, vec = next(_records(t, "part", "vec"))
+            vec = np.frombuffer(vec, _F32).reshape(-1, dim)
+            for back, place, c, uq, qvec in _records(asks, "back", "qi", "c", "uq", "qvec"):
+                place, c, uq = np.frombuffer(place, _I32), np.frombuffer(c, _I32), np.frombuffer(uq, _I32)
+                qvec = np.frombuffer(qvec, _F32).reshape(-1, dim)
+                s = np.concatenate([np.einsum("ij,ij->i", qvec[place[x : x + 65536]], vec[c[x : x + 65536]]) for x in range(0, len(c), 65536)])
+                o, _ = _nearest(place, c, s, beam)
+                rows.append((back, uq[place[o]], c[o].astype(_I64) + (part << SHIFT), s[o].astype(_F32)))
+        return _table(pairs + ", s binary", rows)
+
+    def absorb(t: pa.Table, told: pa.Table) -> pa.Table:
+        part, q, qid, qvec, ids, sims, done = next(_records(t, "part", "q", "qid", "qvec", "ids", "sims", "done"))
+        ids, sims, done = (np.frombuffer(x, d).reshape(-1, beam) for x, d in ((ids, _I64), (sims, _F32), (done, _U8)))
+        done = np.where(_frontier(ids, done), 1, done).astype(_U8)
+        ok = ids >= 0
+        qi, c, s = _all(told, "qi", _I32).astype(_I64), _all(told, "c", _I64), _all(told, "s", _F32)
+        zero = np.zeros(len(qi), _U8)
+        u, v, flag = np.concatenate([np.nonzero(ok)[0], qi]), np.concatenate([ids[ok], c]), np.concatenate([done[ok], zero])
+        ids, sims, done, _ = _lists(len(ids), beam, u, v, np.concatenate([sims[ok], s]), flag, np.zeros(len(u), _U8))
+        return _table(_SEARCH, [(part, q, qid, qvec, ids, sims, done, int(((ids >= 0) & (done == 0)).sum()))])
+
+    asks = _map(found.select("part", "ids", "done"), ask, "part long, back long, qi binary, node binary")
+    told = _join(state.select("part", "ids"), asks, expand, pairs)
+    wanted = _join(found.select("part", "q", "qvec", "ids"), told, gather, "part long, back long, qi binary, c binary, uq binary, qvec binary")
+    scored = _join(state.select("part", "vec"), wanted, score, pairs + ", s binary")
+    return materialize(_join(found, scored, absorb, _SEARCH), "ann-search")
+
+
+def search(state: DataFrame, dim: int, beam: int = BEAM) -> DataFrame:
+    """Greedy search for all nodes that are asked for: `beam` nearest found, nearest first."""
+    found = begin(state, dim, beam)
+    while (found.agg(F.sum("todo")).first()[0] or 0) > 0:  # a node is expanded once for a query at most
+        before, found = found, step(found, state, dim, beam)
         drop_table(before)
-        drop_table(grow)
-    return state.select(F.col("q").alias("id"), "ids", "sims")
+    return found
+
+
+def recall(found: DataFrame, state: DataFrame, dim: int, beam: int, top: int = TOP) -> float:
+    """Share of the `top` nearest nodes that the searches of SAMPLE queries, chosen by a
+    hash, have found; these queries are held against all nodes."""
+
+    def choose(batches):
+        best: list[tuple] = []
+        for b in batches:
+            for q, qvec, ids in _records(b, "q", "qvec", "ids"):
+                q, qvec, ids = np.frombuffer(q, _I64), np.frombuffer(qvec, _F32).reshape(-1, dim), np.frombuffer(ids, _I64).reshape(-1, beam)
+                h = (mix(q.astype(U64)) >> U64(1)).astype(_I64)
+                best += [(int(h[i]), int(q[i]), qvec[i], ids[i, :top]) for i in np.argsort(h)[:SAMPLE]]
+                best = sorted(best, key=lambda x: x[0])[:SAMPLE]
+        yield from _table("h long, q long, qvec binary, ids binary", best).to_batches()
+
+    rows = found.select("q", "qvec", "ids").mapInArrow(choose, "h long, q long, qvec binary, ids binary").orderBy("h", "q").limit(SAMPLE).collect()
+    if not rows:
+        return 1.0
+    qs, m = np.array([r["q"] for r in rows], _I64), np.stack([np.frombuffer(r["qvec"], _F32) for r in rows])
+    sent = state.sparkSession.sparkContext.broadcast((qs, m))  # SAMPLE vectors at most
+
+    def exact(batches):
+        qs, m = sent.value
+        u, v, s = np.zeros(0, _I64), np.zeros(0, _I64), np.zeros(0, _F32)
+        for b in batches:
+            for part, vec in _records(b, "part", "vec"):
+                vec = np.frombuffer(vec, _F32).reshape(-1, dim)
+                gid = part << SHIFT | np.arange(len(vec))
+                sim = m @ vec.T
+                sim[qs[:, None] == gid[None, :]] = -np.inf
+                kk = min(top, len(vec))
+                at = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
+                u = np.concatenate([u, np.repeat(np.arange(len(qs)), kk)])
+                v, s = np.concatenate([v, gid[at].ravel()]), np.concatenate([s, np.take_along_axis(sim, at, 1).ravel()])
+                o, _ = _nearest(u, v, s, top)
+                u, v, s = u[o], v[o], s[o]
+        at = [*_starts(u).tolist(), len(u)]
+        yield from _table("qi long, v binary, s binary", [(int(u[x]), v[x:y], s[x:y]) for x, y in zip(at, at[1:])]).to_batches()
+
+    def best_of(t: pa.Table) -> pa.Table:
+        v, s = _all(t, "v", _I64), _all(t, "s", _F32)
+        o = np.lexsort((v, -s))[:top]
+        return _table("qi long, v binary", [(t.column("qi")[0].as_py(), v[o][s[o] > -np.inf])])
+
+    near = state.select("part", "vec").mapInArrow(exact, "qi long, v binary, s binary").groupBy("qi").applyInArrow(best_of, "qi long, v binary").collect()
+    hit = [len(np.intersect1d(np.frombuffer(r["v"], _I64), np.frombuffer(rows[r["qi"]]["ids"], _I64))) / max(1, len(r["v"]) // 8) for r in near]
+    return float(np.mean(hit)) if hit else 1.0
+
+
+def answers(found: DataFrame, state: DataFrame, beam: int, most: int = FINAL) -> DataFrame:
+    """(id, other): vec_ids of the queries' nodes and of the `most` nearest found."""
+
+    def ask(b):
+        rows = []
+        for qid, ids in _records(b, "qid", "ids"):
+            qid, ids = np.frombuffer(qid, _I64), np.frombuffer(ids, _I64).reshape(-1, beam)[:, :most]
+            q, c = np.repeat(qid, ids.shape[1])[ids.ravel() >= 0], ids[ids >= 0]
+            o = np.argsort(c, kind="stable")
+            q, c = q[o], c[o]
+            rows += [(p, q[at], (c[at] & _LOCAL).astype(_I32)) for p, at in _by_part(c)]
+        yield _table("part long, q binary, c binary", rows)
+
+    def name(t: pa.Table, asks: pa.Table) -> pa.Table:
+        own = np.frombuffer(t.column("own")[0].as_py(), _I64)
+        return pa.table({"id": pa.array(_all(asks, "q", _I64)), "other": pa.array(own[_all(asks, "c", _I32)])})
+
+    return _join(state.select("part", "own"), _map(found.select("qid", "ids"), ask, "part long, q binary, c binary"), name, "id long, other long")
 
 
 def nearest(table: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id `every` divides."""
     vecs = materialize(vectors(table), "ann-vectors")
     head = vecs.select(F.size("embedding")).first()
-    empty = vecs.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if head is None:
-        return empty
+        return vecs.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = head[0]
     byvec = Window.partitionBy("embedding").orderBy("vec_id")
     # The first of equal vectors stand for all: a query has at most `top` of them besides itself.
     members = materialize(vecs.withColumn("nth", F.row_number().over(byvec)).where(F.col("nth") <= top + 1).select("vec_id", "nth", "embedding"), "ann-members")
-    node = materialize(nodes(vecs), "ann-nodes")
     ids = members.where("nth = 1").select(F.col("vec_id").alias("id"), "embedding")
     member_of = members.join(ids, "embedding").select("id", F.col("vec_id").alias("member"), "embedding")
-    graph = neighbour_graph(node, dim)
+    node = nodes(vecs, dim, every)
+    size = int(node.agg(F.sum(F.octet_length("own"))).first()[0]) // 8
+    state, beam, r = neighbour_graph(node, dim, size), max(BEAM, 2 * top), 1 << 20
+    while True:
+        found = search(state, dim, beam)
+        if beam >= size or recall(found, state, dim, beam, min(top, size - 1)) >= TARGET:
+            break
+        before, state = state, descend(state, dim, r)
+        drop_table(found)
+        drop_table(before)
+        beam, r = 2 * beam, r + 1
     queries = salted_lookup(vecs.where(F.col("vec_id") % every == 0), ["embedding"], "vec_id", ids.select("embedding", "id")).select(F.col("vec_id").alias("query_id"), "id")
     queries = materialize(queries, "ann-queries")
-    found = search(queries.select("id").distinct(), graph, node)
     own = queries.select("id").distinct()
-    near = _exploded(found).select("id", "other").union(own.select("id", "id")).distinct()
+    near = materialize(answers(found, state, beam, max(FINAL, 2 * top)).union(own.select("id", "id")), "ann-answers")
     near = near.join(member_of.select(F.col("id").alias("other"), "member", "embedding"), "other").join(ids.select("id", F.col("embedding").alias("qe")), "id")
     dot = F.aggregate(F.zip_with("embedding", "qe", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = near.select("id", "member", dot.alias("score"))

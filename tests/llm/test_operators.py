@@ -172,29 +172,96 @@ def test_ann(spark):
     assert op04_ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def ann_state(spark, v: np.ndarray, near: dict[int, list[int]], asked: list[int], per: int):
+    """Parts of `per` nodes of vectors `v`, node i having vec_id 10 * i and the neighbours near[i]."""
+    k, n, rows = op04_ann.NEIGHBOURS, len(v), []
+    gid = lambda i: (i // per) << op04_ann.SHIFT | i % per
+    for p in range(-(-n // per)):
+        own = range(p * per, min(n, (p + 1) * per))
+        ids, sims = np.full((len(own), k), -1, np.int64), np.full((len(own), k), -np.inf, np.float32)
+        for r, i in enumerate(own):
+            order = sorted(near[i], key=lambda j: -float(v[i] @ v[j]))
+            ids[r, : len(order)], sims[r, : len(order)] = [gid(j) for j in order], v[order] @ v[i]
+        rows.append((p, *(bytearray(x.tobytes()) for x in (np.array([10 * i for i in own], np.int64), v[own.start : own.stop], np.array([i in asked for i in own], np.uint8), ids, sims, (ids >= 0).astype(np.uint8))), 0))
+    return spark.createDataFrame(rows, op04_ann._STATE)
+
+
+def ann_lists(df, width: int, n: int, per: int):
+    """Neighbours of each node (or search) as plain numbers."""
+    out = {}
+    for r in df.collect():
+        ids = np.frombuffer(r["ids"], np.int64).reshape(-1, width)
+        for k, x in enumerate(ids):
+            out[r["part"], k] = [int(g >> op04_ann.SHIFT) * per + int(g & op04_ann._LOCAL) for g in x if g >= 0]
+    return out
+
+
 def test_ann_search_goes_on_until_nearest_are_expanded(spark):
     """Along an arc whose nodes only know the next ones, from a node that knows one far off."""
     n = 60
     v = np.stack([np.cos(np.arange(n) / 40), np.sin(np.arange(n) / 40)], 1).astype(np.float32)
     near = {0: [n - 1]} | {i: [j for j in (i - 1, i + 1) if 0 < j < n] for i in range(1, n)}
-    table = spark.createDataFrame([(i, bytearray(v[i].tobytes())) for i in range(n)], "id long, vec binary")
-    graph = spark.createDataFrame([(i, bytearray(np.array(x, np.int64).tobytes()), bytearray((v[x] @ v[i]).astype(np.float32).tobytes())) for i, x in near.items()], "id long, ids binary, sims binary")
-    got = op04_ann.search(spark.createDataFrame([(0,)], "id long"), graph, table, beam=8).collect()
-    assert sorted(np.frombuffer(got[0]["ids"], np.int64).tolist()) == list(range(1, 9))
+    state = ann_state(spark, v, near, [0], 7)
+    found = op04_ann.search(state, 2, beam=8)
+    assert ann_lists(found, 8, n, 7) == {(0, 0): list(range(1, 9))}
+    assert op04_ann.recall(found, state, 2, 8, top=8) == 1.0
+    assert sorted(tuple(r) for r in op04_ann.answers(found, state, 8, 3).collect()) == [(0, 10), (0, 20), (0, 30)]
+
+
+def test_ann_recall_is_that_of_brute_force(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(300, 8)).astype(np.float32)
+    near = {i: r.choice([j for j in range(300) if j != i], 40, replace=False).tolist() for i in range(300)}
+    asked = list(range(0, 300, 3))
+    state = ann_state(spark, v, near, asked, 64)
+    found = op04_ann.begin(state, 8, 40)
+    want = []
+    for i in asked:
+        s = v @ v[i]
+        s[i] = -np.inf
+        have = sorted(near[i], key=lambda j: -s[j])[:20]
+        want.append(len(set(have) & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert abs(op04_ann.recall(found, state, 8, 40) - np.mean(want)) < 1e-9
+
+
+def test_ann_round_only_gets_nearer(spark):
+    """Lists stay sorted and distinct, hold what was nearest, and `changed` counts what is new."""
+    r = np.random.default_rng(6)
+    v = r.normal(size=(200, 8)).astype(np.float32)
+    near = {i: r.choice([j for j in range(200) if j != i], 48, replace=False).tolist() for i in range(200)}
+    state = ann_state(spark, v, near, [], 64)
+    before = ann_lists(state, 48, 200, 64)
+    after = op04_ann.descend(state, 8, 1)
+    got, new = ann_lists(after, 48, 200, 64), 0
+    for (p, k), x in got.items():
+        i = p * 64 + k
+        s = v @ v[i]
+        assert i not in x and len(set(x)) == len(x) == 48
+        assert all(a >= b - 1e-5 for a, b in zip(s[x], s[x][1:]))
+        assert set(x) >= {j for j in before[p, k] if s[j] > s[x[-1]] + 1e-5}
+        new += len(set(x) - set(before[p, k]))
+    assert after.agg({"changed": "sum"}).first()[0] == new > 0
+    assert op04_ann.changed(after, 200) == new / (200 * 48)
 
 
 def test_ann_descends_until_settled(spark, monkeypatch):
     rounds, shares = [], iter([0.5] * 7 + [op04_ann.SETTLED])
-    first = spark.createDataFrame([], "id long, ids binary, sims binary")
-    monkeypatch.setattr(op04_ann, "first_graph", lambda *a: first)
-    monkeypatch.setattr(op04_ann, "descend", lambda graph, *a: rounds.append(1) or graph)
-    monkeypatch.setattr(op04_ann, "changed", lambda *a: next(shares), raising=False)
-    monkeypatch.setattr(op04_ann, "drop_table", lambda *a: None, raising=False)
-    op04_ann.neighbour_graph(first, 2)
+    monkeypatch.setattr(op04_ann, "first_graph", lambda *a: None)
+    monkeypatch.setattr(op04_ann, "descend", lambda graph, *a: rounds.append(1))
+    monkeypatch.setattr(op04_ann, "changed", lambda *a: next(shares))
+    monkeypatch.setattr(op04_ann, "drop_table", lambda *a: None)
+    op04_ann.neighbour_graph(None, 2, 10)
     assert len(rounds) == 8
-    one = lambda *x: spark.createDataFrame([(1, bytearray(np.array(x, np.int64).tobytes()))], "id long, ids binary")
-    monkeypatch.undo()
-    assert op04_ann.changed(one(2, 3, 4, 5), one(3, 2, 9)) == 0.5
+
+
+def test_ann_searches_again_until_recall_is_reached(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)]) for i in range(1500)], "vec_id long, embedding array<float>")
+    beams, measured, search = [], iter([0.5, 0.9, 0.96]), op04_ann.search
+    monkeypatch.setattr(op04_ann, "search", lambda state, dim, beam: beams.append(beam) or search(state, dim, beam))
+    monkeypatch.setattr(op04_ann, "recall", lambda *a: next(measured))
+    assert op04_ann.nearest(df).count() == 75 * 20
+    assert beams == [128, 256, 512]
 
 
 def test_decontaminate(spark):

@@ -108,10 +108,11 @@ def parse_head(raw: bytes) -> tuple[dict[str, str], int] | None:
 
 
 def _head_at(file, at: int, size: int, near: bytes, near_at: int):
-    """The header at an offset, read on where the bytes in hand end before it does."""
+    """The header at an offset, read on where the bytes in hand end before it does: to its
+    blank line, however far that is, as a record ends with one."""
     raw = near[at - near_at : at - near_at + HEAD]
     n = HEAD
-    while b"\r\n\r\n" not in raw and at + len(raw) < size and n <= 64 * HEAD:
+    while b"\r\n\r\n" not in raw and at + len(raw) < size:
         raw = file.read_at(min(n, size - at), at)
         n *= 4
     return parse_head(raw)

@@ -6,8 +6,8 @@ Training texts are scanned window by window against sorted 64-bit hashes; a hit
 counts once its words equal those of the item's window.
 
 The hash set is broadcast while the benchmark has no more than BLOCK_WORDS words
-(about 100 bytes each).  A larger one is cut into such blocks, kept as files in the
-shared folder and held against each batch of texts in turn, one at a time.
+(about 100 bytes each).  A larger one is cut into such blocks, built one at a time,
+kept as files in the shared folder and held in turn against every GROUP of text.
 
 Contract for odd rows: null or empty text has no words and is clean; items with
 null text, or null item_id, take no part; items that are repeated count once;
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import open_fs, pick, read_table, scratch_path, write_file
+from .common import fresh, open_fs, pick, read_table, scratch_path, write_file
 from .kernels import ALNUM_WORD, LOWER, gram_hashes, prefix_sums, row_slices, span_hashes, text_buffers, trim, words
 
 N = 13
 #: Words of the benchmark that are in memory at a time.
 BLOCK_WORDS = 2_000_000
+#: Bytes of text that wait while a block of several is read.
+GROUP = 16 << 20
 SCHEMA = T.StructType([
     T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_items", T.ArrayType(T.LongType())),
     T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -79,34 +81,43 @@ class Block:
                         items[int(row[k])].update(those)
 
 
-def blocks_of(bench: DataFrame, n: int, most: int) -> list[Block]:
+def blocks_of(bench: DataFrame, n: int, most: int) -> Iterator[Block]:
     """The benchmark, streamed to the driver in blocks of at most `most` words."""
-    out, held, size = [], [], 0
+    held, size, some = [], 0, False
     rows = pick(bench, "item_id", "text").where("item_id is not null and text is not null").distinct()
     for r in rows.toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"]) // 2 + 1
         if size >= most:
-            out.append(Block(held, n))
-            held, size = [], 0
-    return [*out, Block(held, n)] if held or not out else out
+            yield Block(held, n)
+            held, size, some = [], 0, True
+    if held or not some:
+        yield Block(held, n)
+
+
+def names(columns: list[str]) -> list[str]:
+    """What the columns of SCHEMA are called beside `columns`."""
+    return [fresh(columns, c) for c in SCHEMA.names]
 
 
 def scan(docs: DataFrame, bench: DataFrame, n: int = N, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
     """`docs` with _n_words, _n_hit, _items (ids of items with occurring windows) and
     _spans (byte ranges of the UTF-8 text that hit words cover, a run of hit words
-    being one).  With `cut` the spans are cut from the texts of rows that aren't
-    contaminated."""
+    being one); underscores come before these where `docs` has such names.  With `cut`
+    the spans are cut from the texts of rows that aren't contaminated."""
     spark = docs.sparkSession
     blocks = blocks_of(bench, n, block_words)
-    if len(blocks) == 1:
-        sent = spark.sparkContext.broadcast(blocks[0])
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        sent, most = spark.sparkContext.broadcast(block), 1 << 21
         load = lambda: [sent.value]
     else:
-        top = scratch_path(spark, "benchmark")
-        paths = [f"{top}/{k}.block" for k in range(len(blocks))]
-        for p, b in zip(paths, blocks, strict=True):
-            write_file(p, [pickle.dumps(b)])
+        top, most = scratch_path(spark, "benchmark"), GROUP
+        paths: list[str] = []
+        while block is not None:
+            paths.append(f"{top}/{len(paths)}.block")
+            write_file(paths[-1], [pickle.dumps(block)])
+            block, after = after, next(blocks, None)
 
         def load():
             for p in paths:
@@ -114,27 +125,21 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = N, block_words: int = BLOCK
                 with f.open_input_stream(inner) as s:
                     yield pickle.loads(s.read())
 
+    def prepared(data: np.ndarray, off: np.ndarray, i: int, j: int):
+        low, at = LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
+        ws, we, row = words(low, at, ALNUM_WORD)
+        return at, low.tobytes(), ws, we, row, span_hashes(prefix_sums(low), ws, we), np.zeros(len(ws), bool), defaultdict(set)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffers(batch.column("text"))
             out: list[tuple[list, list, list, list]] = []
-            for i, j in row_slices(off):
-                low, at = LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
-                ws, we, row = words(low, at, ALNUM_WORD)
-                h = span_hashes(prefix_sums(low), ws, we)
-                raw, hit, items = low.tobytes(), np.zeros(len(ws), bool), defaultdict(set)
+            for x, y in row_slices(off, most):
+                slices = [prepared(data, off, x + i, x + j) for i, j in row_slices(off[x : y + 1] - off[x])]
                 for block in load():
-                    block.scan(raw, ws, we, row, h, hit, items)
-                n_words = np.bincount(row, minlength=j - i)
-                n_hit = np.bincount(row[hit], minlength=j - i)
-                spans: dict[int, list] = defaultdict(list)
-                for k in np.flatnonzero(hit).tolist():
-                    r = int(row[k])
-                    if k and hit[k - 1] and row[k - 1] == r:
-                        spans[r][-1]["end"] = int(we[k] - at[r])
-                    else:
-                        spans[r].append({"start": int(ws[k] - at[r]), "end": int(we[k] - at[r])})
-                out.append((n_words.tolist(), n_hit.tolist(), [sorted(items[r]) if r in items else [] for r in range(j - i)], [spans.get(r, []) for r in range(j - i)]))
+                    for _, raw, ws, we, row, h, hit, items in slices:
+                        block.scan(raw, ws, we, row, h, hit, items)
+                out += [_found(*s) for s in slices]
             cols = [[v for part in out for v in part[k]] for k in range(4)]
             own = list(batch.columns)
             if cut:
@@ -145,10 +150,24 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = N, block_words: int = BLOCK
                         texts[k] = _without(texts[k].encode(), spans).decode()
                 own[at] = pa.array(texts, batch.schema.types[at])
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*batch.schema.names, *SCHEMA.names])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*batch.schema.names, *new])
         trim()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *SCHEMA.fields]))
+    new = names(docs.columns)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, f.dataType) for c, f in zip(new, SCHEMA.fields, strict=True))]))
+
+
+def _found(at: np.ndarray, raw: bytes, ws: np.ndarray, we: np.ndarray, row: np.ndarray, h: np.ndarray, hit: np.ndarray, items: dict[int, set]) -> tuple[list, list, list, list]:
+    """Words, hit words, items and spans of the rows of a slice."""
+    n = len(at) - 1
+    spans: dict[int, list] = defaultdict(list)
+    for k in np.flatnonzero(hit).tolist():
+        r = int(row[k])
+        if k and hit[k - 1] and row[k - 1] == r:
+            spans[r][-1]["end"] = int(we[k] - at[r])
+        else:
+            spans[r].append({"start": int(ws[k] - at[r]), "end": int(we[k] - at[r])})
+    return np.bincount(row, minlength=n).tolist(), np.bincount(row[hit], minlength=n).tolist(), [sorted(items[r]) if r in items else [] for r in range(n)], [spans.get(r, []) for r in range(n)]
 
 
 def contaminated(n_hit: str = "_n_hit", n_words: str = "_n_words"):
@@ -157,8 +176,8 @@ def contaminated(n_hit: str = "_n_hit", n_words: str = "_n_words"):
 
 def remove(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """`docs` without contaminated documents; from the others, the hit spans are cut."""
-
-    return scan(docs, bench, n, cut=True).where(~contaminated()).select(*[f"`{c}`" for c in docs.columns])
+    n_words, n_hit, _, _ = names(docs.columns)
+    return scan(docs, bench, n, cut=True).where(~contaminated(n_hit, n_words)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _without(raw: bytes, spans: list[dict]) -> bytes:

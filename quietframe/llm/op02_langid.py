@@ -2,11 +2,11 @@
 
 Features are hashed n-grams (1 to 3 characters) of the whole text, ASCII lower-cased
 and with every other ASCII character taken as a space; a feature's value is its share
-of the text's n-grams times its inverse document frequency.  Weights are learned with
-follow-the-regularised-leader (per coordinate) under an elastic net, on the driver,
-from a bounded sample: at most SAMPLE rows in all, dealt evenly over the languages
-and chosen by a hash of doc_id.  Part of the sample is kept back to fit one
-temperature.
+of the text's n-grams times its inverse document frequency, which counts all documents
+that may be learned from.  Weights are learned with follow-the-regularised-leader (per
+coordinate) under an elastic net, on the driver, from a bounded sample: at most SAMPLE
+rows and SAMPLE_BYTES of text in all, dealt evenly over the languages and chosen by a
+hash of doc_id.  Part of the sample is kept back to fit one temperature.
 
 Contract for odd rows: `und` with score 0 for null text and text without a letter;
 rows without text or lang teach nothing; rows come out as often as they stand, extra
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, pick, read_table
+from .common import crc_of_id, fresh, pick, read_table
 from .kernels import LOWER, U64, mix, row_slices, text_buffers, trim
 
-#: Rows that the model is fitted on, at most.
-SAMPLE = 6000
+#: Rows that the model is fitted on, at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
 #: log2 of the hashed features.
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -106,21 +106,19 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[int, str, str]]) -> Model | None:
-    """Learn from (doc_id, lang, text)."""
+def fit(rows: list[tuple[int, str, str]], df: np.ndarray, n_docs: int) -> Model | None:
+    """Learn from (doc_id, lang, text); `df` of `n_docs` documents have each feature."""
     rows = [r for r in rows if r[2] and any(c.isalpha() for c in r[2])]
     langs = sorted({r[1] for r in rows})
     if not langs:
         return None
     feats: list[tuple[np.ndarray, np.ndarray]] = []
-    df = np.zeros(1 << BITS)
     for _, _, text in rows:
         data, off = text_buffers(pa.array([text]))
         f = np.concatenate([g for g, _ in grams(data, off)] or [np.zeros(0, np.int64)])
         u, c = np.unique(f, return_counts=True)
-        df[u] += 1
         feats.append((u.astype(np.int32), (c / max(1, len(f))).astype(np.float32)))
-    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float64)
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
     kept = np.array([zlib.crc32(f"calibrate {r[0]}".encode()) % 6 == 0 for r in rows])
     y = np.array([langs.index(r[1]) for r in rows])
     dim, k = (1 << BITS) + 1, len(langs)
@@ -159,9 +157,45 @@ def fit(rows: list[tuple[int, str, str]]) -> Model | None:
     return model
 
 
-def sample(docs: DataFrame, rows: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, `label` and text of at most `most` rows of `rows` (doc_id, label), as many
-    for each label, chosen by a hash of doc_id."""
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of all `texts` (text) with a letter have each feature, and how many there are."""
+    slices = 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, seen = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, bool)
+        for b in batches:
+            data, off = text_buffers(b.column("text"))
+            for i, j in row_slices(off, 1 << 20):
+                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                ok = np.flatnonzero(has_letter(part, at))
+                got = [(f, np.searchsorted(row, np.arange(len(at)))) for f, row in grams(part, at)]
+                n += len(ok)
+                for r in ok.tolist():
+                    seen[:] = False
+                    for f, ends in got:
+                        seen[f[ends[r] : ends[r + 1]]] = True
+                    df += seen
+        trim()
+        if n:
+            parts = df.reshape(slices, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([n] * slices, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "n", "df"])
+
+    def add(t: pa.Table) -> pa.Table:
+        df = np.zeros((1 << BITS) // slices, np.int64)
+        for x in t.column("df"):
+            df += np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"slice": t.column("slice")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "df": pa.array([df.tobytes()], pa.binary())})
+
+    schema = "slice int, n long, df binary"
+    got = sorted(texts.mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema).collect())  # 64 rows
+    if not got:
+        return np.zeros(1 << BITS), 0
+    return np.concatenate([np.frombuffer(r["df"], np.int64) for r in got]).astype(float), got[0]["n"]
+
+
+def sample(docs: DataFrame, rows: DataFrame, label: str, most: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, `label` and text of at most `most` rows of `rows` (doc_id, label) and
+    `most_bytes` of text, as much for each label, chosen by a hash of doc_id."""
     kinds = max(1, rows.select(label).distinct().count())
     first = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.distinct().withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= max(1, most // kinds)).drop("_nth")
@@ -169,18 +203,21 @@ def sample(docs: DataFrame, rows: DataFrame, label: str, most: int) -> DataFrame
     if not got:
         return docs.sparkSession.createDataFrame([], T.StructType([rows.schema["doc_id"], rows.schema[label], T.StructField("text", T.StringType())]))
     small = docs.sparkSession.createDataFrame(got, rows.schema)
-    return pick(docs, "doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", label, "text")
+    texts = pick(docs, "doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", label, "text")
+    before = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    return texts.withColumn("_bytes", F.sum(F.octet_length("text")).over(before)).where(F.coalesce("_bytes", F.lit(0)) <= most_bytes // kinds).drop("_bytes")
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> Model | None:
     """Fit on `docs` (doc_id, text, lang), without rows whose crc32(doc_id) mod 3 is 1."""
     rows = docs.where(docs["`lang`"].isNotNull() & docs["`text`"].isNotNull() & docs["`doc_id`"].isNotNull() & (crc_of_id(docs["`doc_id`"]) % 3 != 1))
-    chosen = sample(rows, pick(rows, "doc_id", "lang"), "lang", most)
-    return fit(sorted({tuple(r) for r in chosen.collect()}))
+    chosen = sorted({tuple(r) for r in sample(rows, pick(rows, "doc_id", "lang"), "lang", most).collect()})
+    return fit(chosen, *frequencies(pick(rows, "text"))) if chosen else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with _lang and _score."""
+    """`docs` with _lang and _score (underscores before them where `docs` has such names)."""
+    new = [fresh(docs.columns, c) for c in ("_lang", "_score")]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # features x languages at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +231,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best, p = m.predict(part, at) if m else (np.zeros(j - i, int), np.zeros(j - i))
                 langs += [m.langs[k] if m and o else "und" for k, o in zip(best.tolist(), ok.tolist(), strict=True)]
                 scores += np.where(ok, p, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, *new])
         trim()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())]))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

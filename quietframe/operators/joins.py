@@ -25,15 +25,48 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return both.select(*[left[f"`{c}`"] for c in left.columns], *[r[at[c]].alias(c) for c in right.columns if c not in on])
 
 
-def row_hash(df: DataFrame) -> list[Column]:
+_ZERO = {"string": "''", "date": "DATE'1970-01-01'", "timestamp": "TIMESTAMP'1970-01-01'"}
+
+
+def keyed(df: DataFrame, on: list[str], nullable: list[bool]) -> tuple[DataFrame, list[str]]:
+    """`df` with plain columns that are equal where `on` is or both are null, and their
+    names.  What truncates by them and what joins by them share one exchange."""
+    new: dict[str, Column] = {}
+    for i, (c, null) in enumerate(zip(on, nullable, strict=True)):
+        x, kind = F.col(f"`{c}`"), df.schema[c].dataType.typeName()
+        new[f"__k{i}"] = F.coalesce(x, F.expr(_ZERO.get(kind, f"CAST(0 AS {df.schema[c].dataType.simpleString()})"))) if null else x
+        if null:
+            new[f"__z{i}"] = F.isnull(x)
+    return df.select("*", *[v.alias(k) for k, v in new.items()]), list(new)
+
+
+def truncated_join(left: DataFrame, right: DataFrame, on: list[str], cut_left, cut_right) -> DataFrame:
+    """Inner join of two truncated tables, as null_safe_join() gives it; `cut_left` and
+    `cut_right` take a table, the names of its key columns and the columns that make up
+    its rows.  One exchange a side serves truncation and join."""
+    nullable = [left.schema[c].nullable or right.schema[c].nullable for c in on]
+    a, keys = keyed(left, on, nullable)
+    b, _ = keyed(right, on, nullable)
+    a, b = cut_left(a, keys, left.columns), cut_right(b, keys, right.columns)
+    b = b.select(*[b[f"`{c}`"].alias(f"_r{i}") for i, c in enumerate([*right.columns, *keys])])
+    at = {c: f"_r{i}" for i, c in enumerate([*right.columns, *keys])}
+    cond = None
+    for k in keys:
+        eq = a[k] == b[at[k]]
+        cond = eq if cond is None else cond & eq
+    both = a.join(b, cond)
+    return both.select(*[a[f"`{c}`"] for c in left.columns], *[b[at[c]].alias(c) for c in right.columns if c not in on])
+
+
+def row_hash(columns: list[str]) -> list[Column]:
     """A hash of the whole row, then the row: an order that doesn't hang on the input's."""
-    cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    cols = [F.col(f"`{c}`") for c in sorted(columns)]
     return [F.xxhash64(*cols), *cols]
 
 
-def keep_rows(df: DataFrame, keys: list[str], k: int) -> DataFrame:
+def keep_rows(df: DataFrame, keys: list[str], k: int, columns: list[str] | None = None) -> DataFrame:
     """At most k rows for each key; Spark limits them on the map side (WindowGroupLimit)."""
-    w = Window.partitionBy(*[F.col(f"`{c}`") for c in keys]).orderBy(*row_hash(df))
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in keys]).orderBy(*row_hash(columns or df.columns))
     return df.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= k).drop("__nth")
 
 
@@ -45,7 +78,8 @@ def keep_groups(df: DataFrame, id_column: str, group: str, g: int) -> DataFrame:
 
 
 def keep_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key no other row has.  The key's count is aggregated before the
-    shuffle and joined back, so a hot key costs a row a task, not a window of its rows."""
+    """The rows whose key (columns without nulls) no other row has.  The key's count is
+    aggregated before the shuffle and joined back, so a hot key costs a row a task, not
+    a window of its rows."""
     once = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n")
-    return null_safe_join(df, once, keys, "left_semi")
+    return df.join(once, keys, "left_semi")

@@ -13,7 +13,7 @@ from ..plans import nodes as N
 from ..plans.analyze import Catalog, analyze, clean_columns, infinities, join_on, overlap, replacements
 from ..protection import MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsPerID, TruncationStrategy
 from ..schema import ColumnDescriptor, ColumnType, literal, schema_of
-from .joins import keep_groups, keep_rows, keep_unique, null_safe_join
+from .joins import keep_groups, keep_rows, keep_unique, null_safe_join, truncated_join
 
 
 def col(c: str) -> Column:
@@ -141,10 +141,10 @@ def _(n: N.BinColumn, catalog):
     return df.select(*[col(c) for c in df.columns], n.spec.expression(col(n.column), s[n.column]).alias(n.name))
 
 
-def _join(left: DataFrame, right: DataFrame, over: dict, on: list[str], how: str) -> DataFrame:
+def _overlapping(left: DataFrame, right: DataFrame, over: dict, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the names that the join gives to columns of both."""
     left = left.select(*[col(c) for c in on], *[col(c).alias(over[c][0] if c in over else c) for c in left.columns if c not in on])
-    right = right.select(*[col(c).alias(over[c][1] if c in over else c) for c in right.columns])
-    return null_safe_join(left, right, on, how)
+    return left, right.select(*[col(c).alias(over[c][1] if c in over else c) for c in right.columns])
 
 
 @lower.register
@@ -152,23 +152,24 @@ def _(n: N.JoinPublic, catalog):
     s, table = analyze(n.child, catalog).schema, catalog.public_table(n.table)
     r = schema_of(table)
     on = join_on(s, r, n.on)
-    return _join(lower(n.child, catalog), table, overlap(s, r, on), on, n.how)
+    return null_safe_join(*_overlapping(lower(n.child, catalog), table, overlap(s, r, on), on), on, n.how)
 
 
-def _truncated(df: DataFrame, on: list[str], strategy) -> DataFrame:
-    if isinstance(strategy, TruncationStrategy.DropExcess):
-        return keep_rows(df, on, strategy.max_rows)
-    return keep_unique(df, on)
+def _cut(strategy):
+    def cut(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+        return keep_rows(df, keys, strategy.max_rows, columns) if isinstance(strategy, TruncationStrategy.DropExcess) else keep_unique(df, keys)
+
+    return cut
 
 
 @lower.register
 def _(n: N.JoinPrivate, catalog):
     a, b = analyze(n.child, catalog), analyze(n.right, catalog)
     on = join_on(a.schema, b.schema, n.on)
-    left, right = lower(n.child, catalog), lower(n.right, catalog)
-    if not a.ids:
-        left, right = _truncated(left, on, n.left_strategy), _truncated(right, on, n.right_strategy)
-    return _join(left, right, overlap(a.schema, b.schema, on), on, "inner")
+    both = _overlapping(lower(n.child, catalog), lower(n.right, catalog), overlap(a.schema, b.schema, on), on)
+    if a.ids:
+        return null_safe_join(*both, on, "inner")
+    return truncated_join(*both, on, _cut(n.left_strategy), _cut(n.right_strategy))
 
 
 def _changed(df: DataFrame, new: dict[str, Column]) -> DataFrame:

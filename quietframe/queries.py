@@ -240,6 +240,19 @@ def join_private_rows(spark, sf):
     return s.evaluate(q.groupby(keys).count(), INF)
 
 
+@query("""WITH c AS (SELECT c_nationkey, least(count(*), 3) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey, least(count(*), 2) AS n FROM supplier GROUP BY 1)
+SELECT n_name, sum(c.n * s.n)::BIGINT AS count FROM c JOIN s ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
+def join_private_drop_excess(spark, sf):
+    """Most nations have more than three customers, and more than two suppliers."""
+    b = Session.Builder().with_privacy_budget(INF)
+    b.with_private_dataframe("customer", load(spark, sf, "customer", "c_nationkey", "c_acctbal").withColumnRenamed("c_nationkey", "n_nationkey"), AddOneRow())
+    b.with_private_dataframe("supplier", load(spark, sf, "supplier", "s_nationkey", "s_name").withColumnRenamed("s_nationkey", "n_nationkey"), AddOneRow())
+    nation = load(spark, sf, "nation", "n_nationkey", "n_name")
+    q = QueryBuilder("customer").join_private("supplier", TruncationStrategy.DropExcess(3), TruncationStrategy.DropExcess(2)).join_public(nation)
+    found = KeySet.from_dataframe(load(spark, sf, "customer", "c_nationkey").join(load(spark, sf, "supplier", "s_nationkey"), F.expr("c_nationkey = s_nationkey")).join(nation, F.expr("n_nationkey = c_nationkey")).select("n_name"))
+    return b.build().evaluate(q.groupby(found).count(), INF)
+
+
 @query("SELECT count(*) AS count FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1) JOIN customer ON o_custkey = c_custkey")
 def join_private_unique(spark, sf):
     b = Session.Builder().with_privacy_budget(INF)

@@ -17,18 +17,25 @@ text has, have no partner and leave first.
   4. Regions with the same first text (by a hash order) are one cell of that pivot;
      each class goes to its first pivot's cell, cells join exactly; then the cells
      that still hold different components join whole.
-  5. A cell of more than CELL members is split by its pivot: members within the radius
-     link to it; those farther off stay, with the linked ones inside the triangle
-     window (distance to the pivot at least the least far distance less the radius);
-     what stays recurses with the next pivot.  After DEPTH levels the rest is joined
-     by pairs of blocks.
+  5. A cell of more than CELL members is split, spread over tasks of GROUP members.  It
+     gets several whole texts as pivots, those first that nothing is linked to yet, and
+     all members' distances to them.  Members within the radius are linked; a pivot has
+     met everyone and leaves.  A member leaves if no partner outside its own component
+     can be near: it is nearer to a pivot of its component than the nearest outsider
+     less the radius.  The others go to the Voronoi region of their nearest pivot, and
+     by the triangle inequality to all regions whose pivot is at most two radii
+     farther; regions are cells and recurse.
+  6. Where these windows replicate too much, members stand too far from all pivots to
+     be told apart.  Then n-grams are counted again within the cell: members with too
+     few that the cell knows leave, the others go to the cells of their rarest ones if
+     that replicates less; if not, the cell stays and gets four times the pivots.
+     Every level takes pivots out, so this comes to an end.
 
 Links inside a task are reduced to a spanning forest, components come from stars.
 
 Contract for odd rows: null or empty text has the empty set and is linked with
-nothing; a null doc_id comes out with a null component; of rows that share a doc_id
-the one with the least set hash is that document's set, and each row reports its own
-n_shingles; extra columns are not read; an empty table gives none."""
+nothing; a null doc_id comes out with a null component; rows that share a doc_id are
+judged each by its own set; extra columns are not read; an empty table gives none."""
 
 from __future__ import annotations
 
@@ -46,9 +53,14 @@ from .kernels import LOWER, SPACE_WORD, U64, gram_hashes, mix, prefix_sums, row_
 K, PERCENT = 5, 80
 RADIUS = 1 - PERCENT / 100
 #: Members of a cell that one task joins; n-grams in a chunk; counted n-grams in a bucket.
-CELL, CHUNK, BUCKET = 2048, 1 << 19, 1 << 20
-#: Levels of splitting by pivots before pairs of blocks.
-DEPTH = 6
+CELL, CHUNK, BUCKET = 256, 1 << 19, 1 << 20
+#: n-grams of members that one task holds; beyond these a cell is split as well.
+TOKENS = 1 << 21
+#: Members of a larger cell that one task holds against its pivots; pivots at first and at most.
+GROUP, PIVOTS, MOST_PIVOTS = 256, 16, 1024
+#: A split by windows, or by n-grams, is taken if members go to so many cells at most, on
+#: average, and if it leaves at most so large a share of the pairs (sum of squared sizes).
+REPLICATES, PAIRS = 1.5, 0.5
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = K) -> Iterator[np.ndarray]:
@@ -101,16 +113,17 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2 for each row."""
+    """doc_id, th (hash of the text), n, h1, h2 for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, len(s), *set_hash(s)) for i, s in _sets(b)]
+            rows = [(len(s), *set_hash(s)) for _, s in _sets(b)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=["doc_id", "th", "n", "h1", "h2"])
         trim()
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return rows.mapInArrow(run, "doc_id long, th long, n long, h1 long, h2 long")
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -200,25 +213,26 @@ def known_elsewhere(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Chunks of the sets of the documents in `wanted` (doc_id, h1): chunk, ids, lens, toks."""
+    """Chunks of the sets of the classes in `wanted` (doc_id, h1, rep): chunk, ids (reps),
+    lens, toks.  Where rows are repeated a task sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
-        ids, sets, n = [], [], 0
+        ids, sets, n, sent = [], [], 0, set()
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array([len(s) for s in sets], np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary())], names=["chunk", "ids", "lens", "toks"])
 
         for b in batches:
-            h1, i = b.column("_h1").to_pylist(), 0
-            for doc, s in _sets(b):
-                if set_hash(s)[0] == h1[i]:
-                    ids.append(doc)
+            h1, rep = b.column("_h1").to_pylist(), b.column("_rep").to_pylist()
+            for i, (_, s) in enumerate(_sets(b)):
+                if set_hash(s)[0] == h1[i] and rep[i] not in sent:
+                    sent.add(rep[i])
+                    ids.append(rep[i])
                     sets.append(s)
                     n += len(s)
-                i += 1
                 if n >= CHUNK:
                     yield flush()
                     k, ids, sets, n = k + 1, [], [], 0
@@ -227,8 +241,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         del sets
         trim()
 
-    w = wanted.select("doc_id", F.col("h1").alias("_h1"))
-    return docs.join(w, "doc_id").select("doc_id", "text", "_h1").mapInArrow(run, "chunk long, ids binary, lens binary, toks binary")
+    w = wanted.select("doc_id", F.col("h1").alias("_h1"), F.col("rep").alias("_rep"))
+    return docs.join(w, "doc_id").select("doc_id", "text", "_h1", "_rep").mapInArrow(run, "chunk long, ids binary, lens binary, toks binary")
 
 
 def _short(toks: np.ndarray, buckets: int) -> np.ndarray:
@@ -284,40 +298,57 @@ def regions(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.join(reply, "chunk").mapInArrow(choose, "rep long, n long, set binary, regions array<long>")
 
 
-def _forest(sets: list[np.ndarray], ids: list[int]) -> list[tuple[int, int]]:
-    """Spanning links of the exact join of some sets."""
-    m = len(sets)
-    lens = np.array([len(s) for s in sets], np.int64)
-    u, inv, c = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _common(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of the sets `a` with the sets `b`, or with each other."""
+    both = a + (b or [])
+    u, inv, c = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
     col = np.where(c > 1, np.cumsum(c > 1) - 1, -1)[inv]
-    row = np.repeat(np.arange(m), lens)
     row, col = row[col >= 0], col[col >= 0]
-    inter = np.zeros((m, m), np.float32)
-    width = max(256, min(8192, (1 << 24) // max(1, m)))
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    for a in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        x, y = np.searchsorted(col, (a, a + width))
-        block = np.zeros((m, width), np.float32)
-        block[row[x:y], col[x:y] - a] = 1
-        inter += block @ block.T
-    both = inter.astype(np.int64)
-    link = 100 * both >= PERCENT * (lens[:, None] + lens[None, :] - both)
-    root = list(range(m))
-    out = []
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    m, n = len(a), len(b) if b is not None else len(a)
+    out = np.zeros((m, n), np.float32)
+    width = max(256, min(8192, (1 << 24) // max(1, len(both))))
+    for x in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        i, j = np.searchsorted(col, (x, x + width))
+        block = np.zeros((len(both), width), np.float32)
+        block[row[i:j], col[i:j] - x] = 1
+        out += block[:m] @ (block[m:] if b is not None else block).T
+    return out.astype(np.int64)
+
+
+def _linked(both: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return 100 * both >= PERCENT * (n[:, None] + k[None, :] - both)
+
+
+class Union:
+    """Disjoint sets of numbers; the least stands for each."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, i: int) -> int:
+        path = []
+        while (up := self.root.get(i, i)) != i:
+            path.append(i)
+            i = up
+        for x in path:
+            self.root[x] = i
         return i
 
-    for i, j in zip(*np.nonzero(np.triu(link, 1)), strict=True):
-        a, b = find(int(i)), find(int(j))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((ids[int(i)], ids[int(j)]))
-    return out
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _forest(sets: list[np.ndarray], ids: list[int]) -> list[tuple[int, int]]:
+    """Spanning links of the exact join of some sets."""
+    lens = np.array([len(s) for s in sets], np.int64)
+    at, u = np.nonzero(np.triu(_linked(_common(sets), lens, lens), 1)), Union()
+    return [(ids[i], ids[j]) for i, j in zip(*(x.tolist() for x in at), strict=True) if u.join(ids[i], ids[j])]
 
 
 def _links(rows: list[tuple[int, int]]) -> pa.Table:
@@ -325,43 +356,146 @@ def _links(rows: list[tuple[int, int]]) -> pa.Table:
 
 
 def join_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Spanning links (u, v) of the exact joins of small cells; `members`: cell columns and rep."""
-    keys = [c for c in members.columns if c != "rep"]
+    """Spanning links (u, v) of the exact joins of small cells (cell, rep)."""
 
     def run(t: pa.Table) -> pa.Table:
         return _links(_forest([np.frombuffer(x, U64) for x in t.column("set").to_pylist()], t.column("rep").to_pylist()))
 
-    return members.join(sets.select("rep", "set"), "rep").groupBy(*keys).applyInArrow(run, "u long, v long")
+    return members.select("cell", "rep").join(sets.select("rep", "set"), "rep").groupBy("cell").applyInArrow(run, "u long, v long")
+
 
+_MEASURED = "cell long, salt int, width int, reps binary, labs binary, pivots binary, plabs binary, d binary, links binary, merged binary"
+_MEMBERS = "cell long, rep long, lab long, width int"
 
-def split_cells(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One level of large cells: (cell, rep, pivot) -> links to the pivot, and the
-    (cell, rep, far) that stay."""
-    salts = 64
-    spread = members.where("rep <> pivot").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(sets.select("rep", "n", "set"), "rep")
-    pivot = members.select("cell", "pivot").distinct().join(sets.select(F.col("rep").alias("pivot"), F.col("set").alias("pset")), "pivot")
-    pivot = materialize(pivot, "jaccard-pivots").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+def measure(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Large cells (cell, rep, lab, width, n, size, total) against their pivots.  A row for
+    each GROUP of a cell: its members and their components' names, the cell's pivots and
+    theirs, all distances, links (a spanning forest of members and pivots), and names
+    that a link makes one.  A member that has its own name counts as not linked yet."""
+    spread = F.ceil(F.greatest(F.col("size") / GROUP, F.col("total") / TOKENS)).cast("int")
+    order = Window.partitionBy("cell").orderBy(F.col("lab") != F.col("rep"), F.xxhash64("rep", F.lit(level)), "rep")
+    chosen = large.withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= F.col("width")) & (F.col("nth") <= MOST_PIVOTS))
+    chosen = chosen.withColumn("so_far", F.sum("n").over(Window.partitionBy("cell").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))).where(f"nth = 1 or so_far <= {TOKENS}")
+    pivots = materialize(chosen.select("cell", "rep", "lab", spread.alias("groups")).join(sets.select("rep", "set"), "rep"), "jaccard-pivots")
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    members = large.withColumn("salt", F.pmod(F.xxhash64("rep"), spread).cast("int")).join(sets.select("rep", "set"), "rep")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"cell": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "pivot": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "link": pa.array([], pa.bool_())})
-        p = np.frombuffer(b.column("pset")[0].as_py(), U64)
-        d, link = [], []
-        for raw in a.column("set").to_pylist():
-            s = np.frombuffer(raw, U64)
-            at = np.minimum(np.searchsorted(p, s), len(p) - 1)
-            both = int((p[at] == s).sum())
-            either = len(p) + len(s) - both
-            d.append(1 - both / either)
-            link.append(100 * both >= PERCENT * either)
-        return pa.table({"cell": a.column("cell"), "rep": a.column("rep"), "pivot": a.column("pivot"), "d": pa.array(d, pa.float64()), "link": pa.array(link, pa.bool_())})
-
-    # Cell columns and salt key both sides; either side of a group is bounded or split by the salt.
-    seen = spread.groupBy("cell", "salt").cogroup(pivot.groupBy("cell", "salt")).applyInArrow(run, "cell long, rep long, pivot long, d double, link boolean")
-    seen = materialize(seen, "jaccard-star")
-    far = seen.where("not link").groupBy("cell").agg(F.min("d").alias("far_d"))
-    stay = salted_lookup(seen, ["cell"], "rep", far).where(F.col("far_d").isNotNull() & (~F.col("link") | (F.col("d") >= F.col("far_d") - RADIUS - 1e-9)))
-    return seen.where("link").select(F.col("rep").alias("u"), F.col("pivot").alias("v")), stay.select("cell", "rep", (~F.col("link")).alias("far"))
+        names = [c.split()[0] for c in _MEASURED.split(", ")]
+        if not a.num_rows:
+            return pa.table({c: pa.array([], pa.int64() if c == "cell" else pa.int32() if c in ("salt", "width") else pa.binary()) for c in names})
+        b = b.sort_by("rep")
+        reps, labs = (a.column(c).to_numpy() for c in ("rep", "lab"))
+        pivots, plabs = (b.column(c).to_numpy() for c in ("rep", "lab"))
+        x, y = ([np.frombuffer(v, U64) for v in t.column("set").to_pylist()] for t in (a, b))
+        n, k = (np.array([len(s) for s in z], np.int64) for z in (x, y))
+        both = _common(x, y)
+        d = (1 - both / (n[:, None] + k[None, :] - both)).astype(np.float32)
+        at = np.nonzero(_linked(both, n, k))
+        links_, names_, links, merged = Union(), Union(), [], []
+        own, labs = (labs == reps) & ~np.isin(reps, pivots), labs.copy()
+        for i, j in zip(*(z.tolist() for z in at), strict=True):
+            if links_.join(int(reps[i]), int(pivots[j])):
+                links.append((int(reps[i]), int(pivots[j])))
+            if own[i]:  # no one else has its name: it takes that of its first pivot
+                labs[i], own[i] = plabs[j], False
+            elif names_.join(int(labs[i]), int(plabs[j])):
+                merged.append((int(labs[i]), int(plabs[j])))
+        out = {"cell": a.column("cell")[0].as_py(), "salt": a.column("salt")[0].as_py(), "width": a.column("width")[0].as_py(), "reps": reps.tobytes(), "labs": labs.tobytes(), "pivots": pivots.tobytes(), "plabs": plabs.tobytes(), "d": d.tobytes(), "links": np.array(links, np.int64).tobytes(), "merged": np.array(merged, np.int64).tobytes()}
+        return pa.table({c: pa.array([v], pa.int64() if c == "cell" else pa.int32() if c in ("salt", "width") else pa.binary()) for c, v in out.items()})
+
+    return materialize(members.groupBy("cell", "salt").cogroup(pivots.groupBy("cell", "salt")).applyInArrow(run, _MEASURED), "jaccard-measured")
+
+
+def _one(t: pa.Table, cell: int, **blobs: np.ndarray) -> pa.Table:
+    return pa.table({"cell": pa.array([cell], pa.int64()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in blobs.items()}})
+
+
+def _named(names: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """`names` with the new ones for the old (sorted)."""
+    if not len(old):
+        return names
+    at = np.minimum(np.searchsorted(old, names), len(old) - 1)
+    return np.where(old[at] == names, new[at], names)
+
+
+def split_cells(seen: DataFrame) -> DataFrame:
+    """What stays of measured cells: cell, rep, lab, width, cells (regions' cells; null
+    where windows replicate too much, and for the whole cell then)."""
+
+    def unite(t: pa.Table) -> pa.Table:
+        u = Union()
+        for raw in t.column("merged").to_pylist():
+            for a, b in np.frombuffer(raw, np.int64).reshape(-1, 2).tolist():
+                u.join(a, b)
+        old = np.array(sorted(u.root), np.int64)
+        return _one(t, t.column("cell")[0].as_py(), old=old, new=np.array([u.find(int(x)) for x in old], np.int64))
+
+    def rows(b):
+        for r in b.to_pylist():
+            old, new = (np.frombuffer(r[c] or b"", np.int64) for c in ("old", "new"))
+            reps, labs, pivots, plabs = (np.frombuffer(r[c], np.int64) for c in ("reps", "labs", "pivots", "plabs"))
+            yield r, reps, _named(labs, old, new), pivots, _named(plabs, old, new), np.frombuffer(r["d"], np.float32).reshape(len(reps), -1)
+
+    def nearest_outsider(batches):
+        for b in batches:
+            for r, reps, labs, pivots, plabs, d in rows(b):
+                out = np.where((labs[:, None] != plabs[None, :]) & ~np.isin(reps, pivots)[:, None], d, np.inf).min(0)
+                yield from _one(b, r["cell"], far=out.astype(np.float32)).to_batches()
+
+    def least(t: pa.Table) -> pa.Table:
+        return _one(t, t.column("cell")[0].as_py(), far=np.min([np.frombuffer(x, np.float32) for x in t.column("far").to_pylist()], 0))
+
+    def stay(batches):
+        for b in batches:
+            for r, reps, labs, pivots, plabs, d in rows(b):
+                own = labs[:, None] == plabs[None, :]
+                gone = (own & (d < np.frombuffer(r["far"], np.float32)[None, :] - RADIUS - 1e-5)).any(1) | np.isin(reps, pivots)
+                reps, labs, d = reps[~gone], labs[~gone], d[~gone]
+                if not len(reps):
+                    continue
+                near = d <= d.min(1, keepdims=True) + 2 * RADIUS + 1e-5
+                sizes = near.sum(0).astype(float)  # groups are drawn by a hash: each tells the same
+                many = sizes.sum() > REPLICATES * len(reps) or (sizes * sizes).sum() > PAIRS * len(reps) ** 2
+                cells = (np.uint64(0x9E3779B97F4A7C15) * (np.uint64(r["cell"] & (1 << 64) - 1) ^ mix(pivots.astype(U64)))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([r["cell"]] * len(reps), pa.int64()), pa.array(reps), pa.array(labs), pa.array([r["width"]] * len(reps), pa.int32()), pa.array([None if many else cells[x].tolist() for x in near], pa.list_(pa.int64()))], names=["cell", "rep", "lab", "width", "cells"])
+
+    blob = "cell long, old binary, new binary"
+    names = seen.where(F.octet_length("merged") > 0).select("cell", "merged").groupBy("cell").applyInArrow(unite, blob)
+    seen = salted_lookup(seen.select("cell", "salt", "width", "reps", "labs", "pivots", "plabs", "d"), ["cell"], "salt", materialize(names, "jaccard-names"))
+    far = seen.mapInArrow(nearest_outsider, "cell long, far binary").groupBy("cell").applyInArrow(least, "cell long, far binary")
+    seen = salted_lookup(seen, ["cell"], "salt", materialize(far, "jaccard-far"))
+    left = materialize(seen.mapInArrow(stay, _MEMBERS + ", cells array<long>"), "jaccard-stay")
+    # A cell is done when one component is left, and split when all of its groups can be.
+    whole = left.groupBy("cell").agg((F.min("lab") < F.max("lab")).alias("open"), F.max(F.col("cells").isNull()).alias("whole"))
+    return salted_lookup(left, ["cell"], "rep", whole).where("open").select("cell", "rep", "lab", "width", F.when(~F.col("whole"), F.col("cells")).alias("cells"))
+
+
+def recount(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Cells that windows don't split (cell, rep, lab, width), by n-grams that their own
+    members share: members that can have a partner, in the cells of their rarest
+    n-grams or, where these replicate too much, in their cell with more pivots."""
+
+    def explode(batches):
+        for b in batches:
+            for cell, rep, lab, width, n, s in zip(*(b.column(c).to_pylist() for c in ("cell", "rep", "lab", "width", "n", "set")), strict=True):
+                t = np.frombuffer(s, np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(t), x, np.int64)) for x in (cell, rep, lab, n)), pa.array(np.full(len(t), width, np.int32)), pa.array(t)], names=["cell", "rep", "lab", "n", "width", "tok"])
+
+    toks = members.join(sets.select("rep", "n", "set"), "rep").mapInArrow(explode, "cell long, rep long, lab long, n long, width int, tok long")
+    toks = materialize(toks, "jaccard-tokens")
+    df = toks.groupBy("cell", "tok").agg(F.count("*").alias("df")).where("df > 1")
+    known = salted_lookup(toks, ["cell", "tok"], "rep", df).where("df is not null")
+    lists = known.groupBy("cell", "rep", "lab", "n", "width").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("known"))
+    spare = F.size("known") - F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    able = materialize(lists.where(spare >= 0).select("cell", "rep", "lab", "width", F.transform(F.slice("known", 1, spare + 1), lambda x: x["tok"]).alias("toks")), "jaccard-able")
+    parts = able.select("cell", F.explode("toks").alias("tok")).groupBy("cell", "tok").agg(F.count("*").cast("double").alias("c"))
+    sums = parts.groupBy("cell").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2")).join(able.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+    split = (F.col("c") <= REPLICATES * F.col("m")) & (F.col("c2") <= PAIRS * F.col("m") * F.col("m"))
+    both = salted_lookup(able, ["cell"], "rep", sums.select("cell", split.alias("split")))
+    split = both.where("split").select(F.explode("toks").alias("tok"), "cell", "rep", "lab", "width").withColumn("cell", F.xxhash64("cell", "tok")).drop("tok")
+    return split.union(both.where("not split").select("cell", "rep", "lab", "width")).withColumn("width", F.col("width") * 4)
 
 
 def _prio(c: str):
@@ -369,38 +503,52 @@ def _prio(c: str):
 
 
 def link_cells(members: DataFrame, sets: DataFrame) -> list[DataFrame]:
-    """Links of cells of any size; `members`: (cell, rep), the cell being its first pivot."""
-    links = []
-    pivot = F.col("cell")
-    for depth in range(DEPTH + 1):
-        sizes = members.groupBy("cell").agg(F.count("*").alias("size"))
-        sized = materialize(salted_lookup(members.withColumn("pivot", pivot) if depth == 0 else members, ["cell"], "rep", sizes), "jaccard-cells")
-        links.append(materialize(join_cells(sized.where(f"size <= {CELL}").select("cell", "rep"), sets), "jaccard-links"))
-        large = sized.where(f"size > {CELL}")
+    """Links of cells of any size; `members`: cell, rep, lab (name of the component that
+    rep is known to be in: itself, if of none)."""
+    links, level = [], 0
+    members = members.select("cell", "rep", "lab", F.lit(PIVOTS).alias("width"))
+    while True:
+        weighed = members.join(sets.select("rep", "n"), "rep").select("cell", "rep", "lab", "width", "n")
+        sizes = weighed.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("total"), (F.min("lab") < F.max("lab")).alias("open"))
+        sized = materialize(salted_lookup(weighed, ["cell"], "rep", sizes.where("open").drop("open")).where("size is not null"), "jaccard-cells")
+        small = f"size <= {CELL} and total <= {2 * TOKENS} or size = 2"
+        links.append(materialize(join_cells(sized.where(small), sets), "jaccard-links"))
+        large = sized.where(f"not ({small})")
         if large.isEmpty():
             return links
-        if depth == DEPTH:
-            break
-        got, stay = split_cells(large.select("cell", "rep", "pivot"), sets)
-        links.append(got)
-        nxt = stay.where("far").groupBy("cell").agg(F.min(_prio("rep")).alias("p")).select("cell", F.col("p.rep").alias("pivot"))
-        members = materialize(salted_lookup(stay.select("cell", "rep"), ["cell"], "rep", nxt), "jaccard-stay")
-    # The exact way for what is left: blocks of members, every two of them.
-    blocks = F.greatest(F.lit(2), F.ceil(F.col("size") * 2 / CELL)).cast("int")
-    b = large.select("cell", "rep", blocks.alias("k")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    two = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("cell", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "rep")
-    links.append(materialize(join_cells(two, sets), "jaccard-links"))
-    return links
+        seen = measure(large, sets, level)
+        links.append(seen.select("links").mapInArrow(_unpacked, "u long, v long"))
+        left = materialize(split_cells(seen), "jaccard-left")
+        rest = left.where("cells is null").select("cell", "rep", "lab", "width")
+        # n-grams are counted while a cell has the first number of pivots, then that grows.
+        first, again = rest.where(f"width <= {PIVOTS}"), rest.where(f"width > {PIVOTS}").withColumn("width", F.least(F.col("width") * 4, F.lit(MOST_PIVOTS)))
+        members = left.where("cells is not null").select(F.explode("cells").alias("cell"), "rep", "lab", "width").union(again)
+        if not first.isEmpty():
+            members = members.union(recount(first, sets))
+        members, level = materialize(members.distinct(), "jaccard-members"), level + 1
+
+
+def _unpacked(batches):
+    for b in batches:
+        at = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in b.column("links").to_pylist())])
+        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id, n_shingles, component_id."""
+    """One row for each row of `docs` (doc_id, text): doc_id, n_shingles, component_id, th
+    (hash of the text) and component, which names the component itself (two of them have
+    one component_id where a doc_id has several texts); null without doc_id or words."""
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
     stats = materialize(statistics(docs), "jaccard-stats")
-    one = stats.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
-    same = one.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-    classes = salted_lookup(one, ["h1", "h2", "n"], "doc_id", same).select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "h1", "n")
+    one = stats.where("doc_id is not null and n > 0").select("doc_id", "h1", "h2", "n").distinct()
+    # A node is a doc_id, or a hash where one has several sets.
+    several = materialize(one.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several")), "jaccard-several")
+    repeated = not several.isEmpty()
+    node = F.when(F.col("several"), F.xxhash64("doc_id", "h1", "h2")).otherwise(F.col("doc_id")) if repeated else F.col("doc_id")
+    one = (salted_lookup(one, ["doc_id"], "h1", several) if repeated else one).select("doc_id", "h1", "h2", "n", node.alias("node"))
+    same = one.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").drop("last")
+    classes = salted_lookup(one, ["h1", "h2", "n"], "doc_id", same).select("doc_id", F.coalesce("rep", "node").alias("rep"), "node", "h1", "h2", "n")
     classes = materialize(classes, "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(default_partitions(spark), -(-int(total) // (3 * BUCKET)))
@@ -409,8 +557,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = lambda n: F.ceil(n * PERCENT / 100)
     extra = lambda n: F.greatest(F.lit(1), F.floor(n / 10))
     n = F.col("n")
-    wanted = materialize(classes.where("doc_id = rep").join(known, "doc_id").where(F.col("known") >= F.least(extra(n), extra(least(n)))).select("doc_id", "h1"), "jaccard-wanted")
-    if wanted.count() * 16 <= 32 << 20:
+    wanted = materialize(classes.where("node = rep").join(known, "doc_id").where(F.col("known") >= F.least(extra(n), extra(least(n)))).select("doc_id", "h1", "rep"), "jaccard-wanted")
+    if wanted.count() * 24 <= 32 << 20:
         wanted = F.broadcast(wanted)
     chunks = materialize(whole_sets(docs, wanted), "jaccard-sets")
     sets = materialize(regions(chunks, buckets), "jaccard-regions")
@@ -419,20 +567,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pivots = flat.groupBy("region").agg(F.min(_prio("rep")).alias("p"), F.count("*").alias("k")).where("k > 1").select("region", F.col("p.rep").alias("cell"))
     cells = materialize(salted_lookup(flat, ["region"], "rep", pivots).where("cell is not null").select("cell", "rep").distinct(), "jaccard-members")
     home = cells.groupBy("rep").agg(F.min(_prio("cell")).alias("p")).select(F.col("p.rep").alias("cell"), "rep")
-    links = link_cells(_with_pivot(home), sets)
+    links = link_cells(_with_pivot(home).withColumn("lab", F.col("rep")), sets)
     found = components(_union(links))
     lookup = materialize(found, "jaccard-found")
     marked = cells.join(lookup, cells["rep"] == lookup["node"], "left").select("cell", "rep", F.coalesce("component", "rep").alias("c"))
     open_ = marked.groupBy("cell").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("cell")
-    rest = materialize(salted_lookup(cells, ["cell"], "rep", open_.withColumn("open", F.lit(True))).where("open").select("cell", "rep"), "jaccard-open")
+    rest = materialize(salted_lookup(marked, ["cell"], "rep", open_.withColumn("open", F.lit(True))).where("open").select("cell", "rep", F.col("c").alias("lab")), "jaccard-open")
     if not rest.isEmpty():
         links += link_cells(rest, sets)
         lookup = materialize(components(_union(links)), "jaccard-found")
 
-    of = classes.select("doc_id", "rep")
-    joined = salted_lookup(of, ["rep"], "doc_id", lookup.select(F.col("node").alias("rep"), "component"))
-    done = joined.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return stats.join(done, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = salted_lookup(classes, ["rep"], "doc_id", lookup.select(F.col("node").alias("rep"), "component"))
+    joined = joined.select("doc_id", "h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
+    least_id = F.col("component")
+    if repeated:  # a component's name may be a hash then
+        joined = materialize(joined, "jaccard-named")
+        joined = salted_lookup(joined, ["component"], "doc_id", joined.groupBy("component").agg(F.min("doc_id").alias("least")))
+        least_id = F.col("least")
+    done = stats.join(joined, ["doc_id", "h1", "h2", "n"], "left")
+    return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(least_id, "doc_id").alias("component_id"), "th", "component")
 
 
 def _with_pivot(home: DataFrame) -> DataFrame:
@@ -448,7 +601,7 @@ def _union(links: list[DataFrame]) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read_table(spark, sf_dir, "documents"))
+    return jaccard_components(read_table(spark, sf_dir, "documents")).drop("th", "component")
 
 
 QUERIES = {"op3_jaccard": op3_jaccard}

@@ -124,20 +124,66 @@ def brute_components(rows):
     return sorted((d, len(sets[i]), comp[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("cell", [512, 6])
-def test_jaccard(spark, monkeypatch, cell):
-    """With small cells the split by pivots and the blocks run as well."""
-    monkeypatch.setattr(op03_jaccard, "CELL", cell)
-    monkeypatch.setattr(op03_jaccard, "DEPTH", 2)
-    rows = texts(3)
-    got = sorted(tuple(r) for r in op03_jaccard.jaccard_components(frame(spark, rows)).collect())
+def crowd(seed: int = 3) -> list[tuple[int, str]]:
+    """Near copies of near copies, texts that share most of a passage but too little to be
+    linked, and some that share a short one."""
+    r = random.Random(seed)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base, long, short = say(80), say(60), say(20)
+    out = []
+    for _ in range(30):  # a chain: each a word from the last, linked with few others
+        base = list(base)
+        base[r.randrange(80)] = say(1)[0]
+        out.append(" ".join(base))
+    out += [" ".join(say(5) + long + say(5)) for _ in range(25)]
+    out += [" ".join(say(30) + short + say(30)) for _ in range(25)]
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("limits", [(256, 256, 16, 1024), (8, 6, 4, 16)])
+@pytest.mark.parametrize("make", [texts, crowd])
+def test_jaccard(spark, monkeypatch, limits, make):
+    """With small cells the splits by pivots, windows and counts run as well."""
+    for name, value in zip(("CELL", "GROUP", "PIVOTS", "MOST_PIVOTS"), limits, strict=True):
+        monkeypatch.setattr(op03_jaccard, name, value)
+    rows = make(3)
+    got = sorted(tuple(r)[:3] for r in op03_jaccard.jaccard_components(frame(spark, rows)).collect())
     assert got == brute_components(rows)
     assert len({c for _, _, c in got}) < len(got) - 8
 
 
+@pytest.mark.parametrize("replicates", [0.0, 3.0])
+def test_jaccard_cells(spark, monkeypatch, replicates):
+    """One cell of all: however windows and counts split it, the links give the components."""
+    for name, value in (("CELL", 12), ("GROUP", 10), ("PIVOTS", 6), ("MOST_PIVOTS", 24), ("REPLICATES", replicates), ("TOKENS", 5000)):
+        monkeypatch.setattr(op03_jaccard, name, value)
+    rows = crowd(7)
+    sets = [next(iter(op03_jaccard.shingle_sets(*text_buffers(pa.array([t]))))) for _, t in rows]
+    table = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for (i, _), s in zip(rows, sets, strict=True)], "rep long, n long, set binary")
+    members = spark.createDataFrame([(1, i, i) for i, _ in rows], "cell long, rep long, lab long")
+    links = op03_jaccard._union(op03_jaccard.link_cells(members, table))
+    found = {r["node"]: r["component"] for r in components(links).collect()}
+    assert [(i, found.get(i, i)) for i, _ in rows] == [(i, c) for i, _, c in brute_components(rows)]
+
+
+def test_jaccard_cell_of_thousands_that_are_not_linked(spark):
+    r = random.Random(1)
+    sets = [np.unique(np.array([*range(5), *(r.getrandbits(62) for _ in range(25))], np.uint64)) for _ in range(5200)]
+    sets[7], sets[4000] = sets[4000], np.append(sets[4000][:-1], np.uint64(1 << 63))
+    table = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "rep long, n long, set binary")
+    members = spark.createDataFrame([(1, i, i) for i in range(5200)], "cell long, rep long, lab long")
+    links = op03_jaccard._union(op03_jaccard.link_cells(members, table)).collect()
+    assert {tuple(sorted(x)) for x in links} == {(7, 4000)}
+
+
 def test_jaccard_odd(spark):
     got = op03_jaccard.jaccard_components(frame(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f")])).collect()
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in got) == [(-1, 2, -1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+    # Texts that share a doc_id are judged apart, and none loses its links.
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = op03_jaccard.jaccard_components(frame(spark, [(5, a), (5, b), (5, None), (7, b + " x"), (3, a + " y"), (9, a)])).collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(3, 27, 3), (5, 0, 5), (5, 26, 3), (5, 26, 5), (7, 27, 5), (9, 26, 3)]
     assert op03_jaccard.jaccard_components(empty(spark)).count() == 0
 
 

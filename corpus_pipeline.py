@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietframe.llm import op02_langid, op03_jaccard, op05_decontaminate, op09_packing, op10_lines
-from quietframe.llm.common import materialize, pick, read_table, tokenizer_path
+from quietframe.llm.common import fresh, materialize, read_table, salted_lookup, tokenizer_path
 from quietframe.runtime import ship
 
 #: A text whose likeliest language has less than this calibrated probability goes.
@@ -26,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or of no certain language go."""
     ship(spark)
     model = op02_langid.train(docs)
-    kept = op02_langid.predict(docs, model).where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE))
+    lang, score = (fresh(docs.columns, c) for c in ("_lang", "_score"))
+    kept = op02_langid.predict(docs, model).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE))
     return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -37,17 +38,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of rows that share a
-    doc_id one stays; rows without doc_id stay."""
+    """Of each component the text with the smallest doc_id stays (of several under that id
+    the least by hash), once where it is repeated; texts without words or doc_id stay."""
     ship(spark)
-    found = op03_jaccard.jaccard_components(docs)
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    again = materialize(pick(docs, "doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    found = op03_jaccard.jaccard_components(docs).where("component is not null").select("doc_id", "th", "component")
+    found = materialize(found.groupBy("doc_id", "th", "component").count(), "near-duplicates")
+    groups = found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    gone = salted_lookup(found, ["component"], "doc_id", groups).where("first <> struct(doc_id, th)")
+    doc, th, n = (fresh(docs.columns, c) for c in ("_gone", "_gone_th", "_nth"))
+    text_hash = F.xxhash64(F.coalesce(docs["`text`"], F.lit("")))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return materialize(rows.select(F.col("doc_id").alias(doc), F.col("th").alias(th)), "marked")
+
+    def having(kept: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        return kept.join(rows, (kept["`doc_id`"] == rows[doc]) & (text_hash == rows[th]), how)
+
+    kept = having(docs, marked(gone), "left_anti")
+    again = marked(found.where("count > 1"))
     if again.isEmpty():
         return kept
-    one = kept.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
-    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(*[f"`{c}`" for c in docs.columns])
+    one = Window.partitionBy(docs["`doc_id`"], text_hash).orderBy(F.lit(0))
+    once = having(kept, again, "left_semi").withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
+    return having(kept, again, "left_anti").unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

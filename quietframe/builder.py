@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from .functions.binning import BinningSpec
 from .keys import KeySet
 from .plans import nodes as N
-from .plans.nodes import Kind, Mechanism, Query
+from .plans.nodes import GroupbyCountQuery, Kind, Mechanism, Query
 from .protection import Constraint
 from .schema import descriptor
 
@@ -92,6 +92,9 @@ class GroupedQueryBuilder(_Aggregates):
     def _keys(self):
         return self.keys
 
+    def count(self, name: str | None = None, mechanism="default") -> GroupbyCountQuery:
+        return GroupbyCountQuery(self._plan, Kind.COUNT, self.keys, name or "count", mechanism=Mechanism.of(mechanism))
+
 
 @dataclass(frozen=True)
 class QueryBuilder(_Aggregates):

@@ -6,12 +6,16 @@ import datetime
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ColumnDescriptor, ColumnType, literal
 
+#: Types that bins can hold.
+BinT = TypeVar("BinT", str, int, float, datetime.date, datetime.datetime)
+
 
 def type_of(v) -> ColumnType:
     for kind in (ColumnType.INTEGER, ColumnType.DECIMAL, ColumnType.VARCHAR, ColumnType.TIMESTAMP, ColumnType.DATE):

@@ -15,7 +15,7 @@ from ..plans import nodes as N
 from ..plans.analyze import Catalog, Facts, analyze
 from ..plans.nodes import Kind
 from ..plans.rules import Distance, clean, distance_of, distinct_ids, group_columns, measures, midpoint, split_for_detection
-from ..runtime import ship
+from ..runtime import checkpoint_folder, ship
 from ..schema import KEY_TYPES, ColumnDescriptor, ColumnType
 from .joins import null_safe_join
 from .lower import col, enforce, lower
@@ -27,12 +27,7 @@ def settle(df: DataFrame) -> DataFrame:
     caller reads are those files, whichever executors are lost later."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not top:
-            import tempfile
-
-            top = tempfile.mkdtemp(prefix="quietframe-")
-        sc.setCheckpointDir(top)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

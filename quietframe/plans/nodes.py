@@ -178,3 +178,8 @@ class Query:
     def _is_equivalent(self, other) -> bool:
         """Structural equality; key sets are compared by content."""
         return isinstance(other, Query) and self == other
+
+
+@dataclass(frozen=True)
+class GroupbyCountQuery(Query):
+    """A count by keys, whose small rows suppress() can leave out."""

@@ -397,10 +397,73 @@ def max_rows_protected(spark, sf):
     return s.evaluate(QueryBuilder("lineitem").groupby(KeySet.from_tuples([("A",), ("R",)], ["l_returnflag"])).count(), INF)
 
 
-@query()
+#: A finite budget whose noise is 0 but with probability exp(-10000): its answers are exact
+#: although every sampler runs.
+PLENTY = 10_000
+
+
+@query("SELECT k.*, count(t.l_returnflag) AS count FROM " + _KEYS2 + f" LEFT JOIN lineitem t ON {_ON2} GROUP BY ALL")
 def count_noisy(spark, sf):
-    s = rows(spark, sf, "lineitem", "l_returnflag", "l_linestatus", budget=PureDPBudget(1))
-    return s.evaluate(QueryBuilder("lineitem").groupby(keys2()).count(), PureDPBudget(1))
+    s = rows(spark, sf, "lineitem", "l_returnflag", "l_linestatus", budget=PureDPBudget(PLENTY))
+    return s.evaluate(QueryBuilder("lineitem").groupby(keys2()).count(), PureDPBudget(PLENTY))
+
+
+@query("SELECT l_returnflag, sum(least(l_linenumber, 5))::BIGINT AS s FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL")
+def sum_gaussian(spark, sf):
+    """The variance of the discrete Gaussian is 25 / (2 rho)."""
+    budget = RhoZCDPBudget(PLENTY**2)
+    s = rows(spark, sf, "lineitem", "l_returnflag", "l_linenumber", budget=budget)
+    return s.evaluate(QueryBuilder("lineitem").groupby(KeySet.from_dict({"l_returnflag": ["A", "R"]})).sum("l_linenumber", 0, 5, "s"), budget)
+
+
+@query("SELECT l_returnflag, round(avg(l_linenumber), 3) AS a FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL")
+def average_noisy(spark, sf):
+    s = rows(spark, sf, "lineitem", "l_returnflag", "l_linenumber", budget=PureDPBudget(PLENTY**2))
+    q = QueryBuilder("lineitem").groupby(KeySet.from_dict({"l_returnflag": ["A", "R"]})).average("l_linenumber", 1, 7, "a")
+    return rounded_(s.evaluate(q, PureDPBudget(PLENTY**2)), "a", 3)
+
+
+@query("SELECT l_returnflag, round(var_samp(l_linenumber), 3) AS v, round(stddev_samp(l_linenumber), 3) AS d FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL")
+def variance_noisy(spark, sf):
+    budget = PureDPBudget(PLENTY**2)
+    s = rows(spark, sf, "lineitem", "l_returnflag", "l_linenumber", budget=2 * budget)
+    g = QueryBuilder("lineitem").groupby(KeySet.from_dict({"l_returnflag": ["A", "R"]}))
+    v, d = s.evaluate(g.variance("l_linenumber", 1, 7, "v"), budget), s.evaluate(g.stdev("l_linenumber", 1, 7, "d"), budget)
+    return rounded_(rounded_(v.join(d, "l_returnflag"), "v", 3), "d", 3)
+
+
+@query(_gap_start(0.5))
+def median_noisy(spark, sf):
+    """Each gap off the median has a score of at least 1 less: a weight of exp(-5000) of it."""
+    budget = PureDPBudget(PLENTY)
+    s = rows(spark, sf, "lineitem", "l_returnflag", "l_quantity", budget=budget)
+    out = s.evaluate(QueryBuilder("lineitem").groupby(KeySet.from_dict({"l_returnflag": FLAGS[:3]})).median("l_quantity", 0.0, 60.0, name="q"), budget)
+    return out.select("l_returnflag", F.floor(F.least("q", F.lit(50.0))).alias("start"))
+
+
+@query("SELECT l_returnflag, l_linestatus FROM lineitem GROUP BY ALL HAVING count(*) > 20")
+def get_groups_finite(spark, sf):
+    """Groups of at most 20 rows stay hidden at this budget, larger ones of these tables don't."""
+    budget = ApproxDPBudget(PLENTY, 1e-9)
+    return rows(spark, sf, "lineitem", "l_returnflag", "l_linestatus", budget=budget).evaluate(QueryBuilder("lineitem").get_groups(), budget)
+
+
+@query("""SELECT query, what, mechanism, parameter::DOUBLE AS parameter FROM (VALUES ('id rows 1', 'count', 'GEOMETRIC', 1.0), ('id rows 2', 'count', 'GEOMETRIC', 2.0), ('id rows 5', 'count', 'GEOMETRIC', 5.0),
+('rho rows 1', 'count', 'DISCRETE_GAUSSIAN', 0.5), ('rho rows 2', 'count', 'DISCRETE_GAUSSIAN', 2.0), ('rho rows 5', 'count', 'DISCRETE_GAUSSIAN', 12.5),
+('average 1', 'sum', 'GEOMETRIC', 10.0), ('average 1', 'count', 'GEOMETRIC', 2.0), ('average 5', 'sum', 'GEOMETRIC', 50.0), ('average 5', 'count', 'GEOMETRIC', 10.0),
+('rho average 5', 'sum', 'DISCRETE_GAUSSIAN', 625.0), ('rho average 5', 'count', 'DISCRETE_GAUSSIAN', 25.0)) t(query, what, mechanism, parameter)""")
+def mechanism_parameters(spark, sf):
+    """Noise of queries with known answers: budget 1, measures in [0, 10]."""
+    out = []
+    for label, budget in (("", PureDPBudget(1)), ("rho ", RhoZCDPBudget(1))):
+        s = ids(spark, sf, "events", "user_id", "user_id", "event_id", budget=budget)
+        for k in (1, 2, 5):
+            q = QueryBuilder("events").enforce(MaxRowsPerID(k))
+            asked = {f"{label or 'id '}rows {k}": q.count(), f"{label}average {k}": q.average("event_id", 0, 10)}
+            for name, x in asked.items():
+                if not (name.endswith("average 2") or name == "rho average 1"):
+                    out += [(name, i["what"], i["mechanism"], float(i["parameter"])) for i in s._noise_info(x, budget)]
+    return spark.createDataFrame(out, "query string, what string, mechanism string, parameter double")
 
 
 # key sets

@@ -29,3 +29,15 @@ def ship(spark: SparkSession) -> SparkSession:
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where that is unset, and driver and executors
+    are one process, a folder of our own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        return top
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="quietframe-")

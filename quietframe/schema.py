@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+class AnalyticsDefault:
+    """What replaces null and NaN in columns of each type, unless told otherwise."""
+
+    # Fixed values.
+    INTEGER = 0
+    DECIMAL = 0.0
+    VARCHAR = ""
+    DATE = datetime.date(1970, 1, 1)
+    TIMESTAMP = datetime.datetime(1970, 1, 1)
+
+
+
 class ColumnType(Enum):
     INTEGER = "INTEGER"
     DECIMAL = "DECIMAL"
@@ -25,7 +37,7 @@ class ColumnType(Enum):
     @property
     def default(self):
         """What replace_null_and_nan() puts in where no value is given (UTC epochs)."""
-        return {"INTEGER": 0, "DECIMAL": 0.0, "VARCHAR": "", "DATE": datetime.date(1970, 1, 1), "TIMESTAMP": datetime.datetime(1970, 1, 1)}[self.value]
+        return getattr(AnalyticsDefault, self.value)
 
     @property
     def numeric(self) -> bool:

@@ -20,7 +20,9 @@ from .protection import AddMaxRows, AddMaxRowsInMaxGroups, AddRowsWithID, MaxGro
 from .schema import KEY_TYPES, ColumnType, coerce, schema_of
 
 
-class _Flag:
+class FeatureFlag:
+    """A switch that can be turned on, off, and back to its default."""
+
     def __init__(self, default: bool):
         self._default = self._on = default
 
@@ -42,7 +44,7 @@ class _Flag:
 
 class _Features:
     def __init__(self):
-        self.auto_partition_selection = _Flag(False)
+        self.auto_partition_selection = FeatureFlag(False)
 
 
 class Config:
@@ -221,8 +223,9 @@ class Session:
                 self._views.add(source_id)
 
     def delete_view(self, source_id: str) -> None:
+        """Drop a view, or a base table: nothing can be asked of it any more."""
         if source_id not in self._catalog.private:
-            raise ValueError(f"there is no private table {source_id!r}")
+            raise KeyError(f"there is no private table {source_id!r}")
         df, _ = self._catalog.private.pop(source_id)
         if source_id in self._views:
             df.unpersist()

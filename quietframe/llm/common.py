@@ -3,28 +3,23 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import checkpoint_folder, ship
 
 #: Spread of one key over tasks in lookups and first-occurrence searches.
 SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is spark.checkpoint.dir of the session; only where that is unset (tests,
-    local mode) a folder of our own is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or
+    that set by hand; only where neither is (tests, local mode) a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quietframe-")
+        base = checkpoint_folder(spark)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 

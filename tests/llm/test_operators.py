@@ -310,7 +310,7 @@ def test_ann_searches_again_until_recall_is_reached(spark, monkeypatch):
     assert beams == [128, 256, 512]
 
 
-def test_decontaminate(spark):
+def test_decontaminate(spark, monkeypatch):
     rows = texts(5)
     passage = " ".join(dict(rows)[45].split()[:30])
     bench = [(1, passage), (10, "one two"), (2, None), (3, ""), (None, "a"), (1, passage), (4, dict(rows)[12][:200].upper())]
@@ -319,6 +319,9 @@ def test_decontaminate(spark):
     for size in (10**6, 20):
         got = [(r["doc_id"], r["_n_words"], r["_n_hit"], len(r["_items"]), hashlib.sha256(",".join(sorted(map(str, r["_items"]))).encode()).hexdigest(), r["_n_hit"] > 0 and 20 * r["_n_hit"] >= r["_n_words"]) for r in op05_decontaminate.scan(docs, b, block_words=size).collect()]
         assert sorted(got) == want
+    monkeypatch.setattr(op05_decontaminate, "GROUP", 500)
+    again = op05_decontaminate.scan(docs, b, block_words=20).collect()
+    assert sorted((r["doc_id"], r["_n_words"], r["_n_hit"]) for r in again) == [w[:3] for w in want]
     left = {r["doc_id"] for r in op05_decontaminate.remove(docs, b).collect()}
     assert left == {w[0] for w in want if not w[5]}
     assert op05_decontaminate.scan(docs, b.limit(0)).where("_n_hit > 0").count() == 0
@@ -340,6 +343,9 @@ def test_warc(spark):
         back = op06_warc.read_archives(m, size).collect()
         assert sorted((-1 if r["page_id"] is None else r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], -1 if r["refers_to"] is None else r["refers_to"]) for r in back) == sorted(want)
         assert {r["page_id"]: r["html"] for r in back}[5] == "é" * 20_000
+    long = spark.createDataFrame([(1, "http://x/" + "u" * (5 << 20), trap), (2, "v", "y")], "page_id long, url string, html string")
+    back = op06_warc.read_archives(op06_warc.write_archives(long, scratch_path(spark, "warc")), 1 << 16).collect()
+    assert sorted((r["page_id"], len(r["url"]), r["html"]) for r in back) == [(1, 9 + (5 << 20), trap), (2, 1, "y")]
     assert op06_warc.read_archives(op06_warc.write_archives(df.limit(0), scratch_path(spark, "warc"))).count() == 0
 
 
@@ -464,3 +470,87 @@ def test_lines(spark):
     kept = op10_lines.apply_bitmaps(odd, op10_lines.keep_bitmaps(odd)).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, "the same line here"), (1, "the same line here"), (2, ""), (2, ""), (2, "new")]
     assert op10_lines.apply_bitmaps(empty(spark), op10_lines.keep_bitmaps(empty(spark))).count() == 0
+
+
+def test_frequencies_count_all_documents(spark):
+    rows = [*texts(11), (500, None), (501, "123")]
+    df, n = op02_langid.frequencies(frame(spark, rows).select("text").repartition(3))
+    want, m = np.zeros(1 << op02_langid.BITS), 0
+    for _, t in rows:
+        if t and any(c.isalpha() for c in t):
+            m += 1
+            want[np.unique(np.concatenate([g for g, _ in op02_langid.grams(*text_buffers(pa.array([t])))]))] += 1
+    assert n == m and (df == want).all()
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100, "en" if i % 4 else "de") for i in range(400)], "doc_id long, text string, lang string")
+    pairs = docs.select("doc_id", "lang")
+    count = lambda *a: sorted((r["lang"], r["count"]) for r in op02_langid.sample(docs, pairs, "lang", *a).groupBy("lang").count().collect())
+    assert count(40, 1 << 20) == [("de", 20), ("en", 20)]
+    assert count(10**6, 6000) == [("de", 30), ("en", 30)]
+
+
+def test_thresholds_follow_all_labels(spark):
+    """The sample is balanced; rows beyond it move the cut to where F1 is best among all."""
+    m = op08_toxicity.Model(np.zeros((1, 1)), [], [], np.zeros(1), 0.0, langs=["a", "b"], fitted=[0])
+    rows = [(i, float(z), g, True) for i, (z, g) in enumerate([(9.0, 0), *[(2.0, 0)] * 30, *[(1.0, 0)] * 400, *[(-1.0, 1)] * 25, *[(-3.0, 1)] * 25])]
+    rows.append((10_000, 50.0, 0, False))
+    toxic = {i: int(z == 2.0 or (g == 1 and z == -1.0) or i < 90 and z == 1.0) for i, z, g, _ in rows}
+    keep = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    seen = spark.createDataFrame(rows, "doc_id long, _logit double, _guess int, _some boolean")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    few, op08_toxicity.FEW = op08_toxicity.FEW, 5
+    try:
+        got = op08_toxicity.calibrate(seen, labels, m).thresholds
+    finally:
+        op08_toxicity.FEW = few
+    for g in (0, 1):
+        mine = [(z, toxic[i]) for i, z, lang, some in rows if lang == g and some and i not in m.fitted and keep(i)]
+        f1 = lambda cut: 2 * sum(y for z, y in mine if z > cut) / max(1, sum(z > cut for z, _ in mine) + sum(y for _, y in mine))
+        assert f1(got[g]) == max(f1(cut) for cut in (-9, -2, 0, 1.5, 3))
+
+
+CLASH = ("_lang", "_score", "_words", "_n_lines", "_n_dropped", "_n_words", "_n_hit", "_items", "_spans", "_toxicity", "_logit", "_guess", "_nth", "_gone", "_bitmap_of", "_bitmap_words", "_h1", "salt", "key", "line", "pos")
+
+
+def test_columns_that_clash(spark):
+    """Extra columns of any name come back unchanged."""
+    rows = [(i, t, "en", i) for i, t in texts(12)[10:30]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, own int").select("*", *[__import__("pyspark").sql.functions.lit(f"mine {c}").alias(c) for c in CLASH])
+    bench = spark.createDataFrame([(1, rows[2][1][:150])], "item_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i, *_ in rows], "doc_id long, toxic int")
+    for out in (
+        op02_langid.predict(df, op02_langid.train(df)),
+        op05_decontaminate.scan(df, bench),
+        op05_decontaminate.remove(df, bench),
+        op08_toxicity.score(df, op08_toxicity.train(df, labels)),
+        op10_lines.apply_bitmaps(df, op10_lines.keep_bitmaps(df)),
+    ):
+        assert out.columns[: len(df.columns)] == df.columns and len(set(out.columns)) == len(out.columns)
+        for r in out.collect():
+            assert all(r[c] == f"mine {c}" for c in CLASH)
+    assert op03_jaccard.jaccard_components(df).count() == len(rows)
+    assert op09_packing.pack(df, tokenizer_path("word_bpe_49k.json")).count() >= len(rows)
+    assert op07_substrings.removed(df).count() == len(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts above the sizes of slices, chunks and groups, against brute force."""
+    r = random.Random(13)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    long = " ".join(r.choice(vocab) for _ in range(900_000))  # some 5.8 MB
+    rows = [(1, long), (2, long[:2_000_000] + "\n" + long[3_000_000:]), (3, " ".join(r.choice(vocab) for _ in range(50))), (4, long[:-9])]
+    df = frame(spark, rows)
+    assert sorted(tuple(x)[:3] for x in op03_jaccard.jaccard_components(df).collect()) == brute_components(rows)
+    bench = [(7, long[1_900_000:2_100_000]), (8, long[-100:])]
+    got = op05_decontaminate.scan(df, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    hits = {x["doc_id"]: (x["_n_hit"], list(x["_items"])) for x in got}
+    assert hits[1][1] == [7, 8] and hits[2][1] == [7, 8] and hits[3] == (0, []) and hits[4][1][0] == 7
+    tok = Encoder(tokenizer_path("byte_bpe_50k.json")).tok
+    back = {x["doc_id"]: x for x in op01_sstable.read_tables(op01_sstable.write_tables(df, scratch_path(spark, "t"), tokenizer_path("byte_bpe_50k.json"), shards=2)).collect()}
+    for i, t in rows[1:3]:
+        assert back[i]["ids_crc32"] == zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    done = op10_lines.apply_bitmaps(df, op10_lines.keep_bitmaps(df)).collect()
+    assert sorted((x["doc_id"], x["_n_lines"], x["_n_dropped"]) for x in done) == [(1, 1, 0), (2, 2, 0), (3, 1, 0), (4, 1, 0)]
+    assert len(op02_langid.predict(df, op02_langid.train(df)).collect()) == 4

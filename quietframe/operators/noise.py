@@ -75,6 +75,57 @@ def discrete_laplace(scale: Fraction) -> int:
             return -y if negative else y
 
 
+def _below(n: int, size: int):
+    """`size` integers from 0 to n - 1, each as likely (n below 2 ** 63)."""
+    import numpy as np
+
+    shift, out, have = np.uint64(64 - max(1, (n - 1).bit_length())), np.zeros(size, np.int64), 0
+    while have < size:
+        got = (np.frombuffer(os.urandom(8 * (size - have)), np.uint64) >> shift).astype(np.int64)
+        got = got[got < n]
+        out[have : have + len(got)] = got
+        have += len(got)
+    return out
+
+
+def _exp_block(u, t: int):
+    """Each true with probability exp(-u / t), for 0 <= u <= t."""
+    import numpy as np
+
+    out, open_, k = np.zeros(len(u), bool), np.arange(len(u)), 1
+    while len(open_):
+        on = _below(t * k, len(open_)) < u[open_]
+        out[open_[~on]] = k % 2 == 1
+        open_, k = open_[on], k + 1
+    return out
+
+
+def discrete_laplace_block(scale: Fraction, size: int):
+    """`size` draws of discrete_laplace(), by the same steps on arrays; one by one where
+    the scale's terms are too long for them."""
+    import numpy as np
+
+    scale = Fraction(scale)
+    t, s = scale.numerator, scale.denominator
+    if not 0 < t < 1 << 50:
+        return [discrete_laplace(scale) for _ in range(size)]
+    out, have = np.zeros(size, np.int64), 0
+    while have < size:
+        u = _below(t, 2 * (size - have) + 8)
+        u = u[_exp_block(u, t)]
+        v, open_ = np.zeros(len(u), np.int64), np.arange(len(u))
+        while len(open_):
+            open_ = open_[_exp_block(np.ones(len(open_), np.int64), 1)]
+            v[open_] += 1
+        if len(v) and int(v.max()) >= 1 << 12:  # next to impossible, and too far for these integers
+            continue
+        y, negative = (u + t * v) // s, _below(2, len(u)) == 1
+        y = np.where(negative, -y, y)[~(negative & (y == 0))][: size - have]
+        out[have : have + len(y)] = y
+        have += len(y)
+    return out.tolist()
+
+
 def discrete_gaussian(variance: Fraction) -> int:
     """P(k) in proportion to exp(-k * k / (2 * variance))."""
     variance = Fraction(variance)
@@ -108,6 +159,16 @@ def draw(spec: NoiseSpec) -> Fraction:
     return discrete_gaussian(Fraction(spec.parameter) / g**2) * g
 
 
+def draw_block(spec: NoiseSpec, size: int) -> list[Fraction]:
+    """`size` draws."""
+    if spec.kind is Noise.GEOMETRIC and not spec.none:
+        return [Fraction(x) for x in discrete_laplace_block(Fraction(spec.parameter), size)]
+    if spec.kind is Noise.LAPLACE and not spec.none:
+        g = grid(spec)
+        return [x * g for x in discrete_laplace_block(Fraction(spec.parameter) / g, size)]
+    return [draw(spec) for _ in range(size)]
+
+
 def inverse_cdf(spec: NoiseSpec, p: float) -> float:
     """The value that noise doesn't exceed with probability p."""
     if not 0 < p < 1:
@@ -141,7 +202,8 @@ def add_noise(df: DataFrame, specs: dict[str, NoiseSpec]) -> DataFrame:
         for f in frames:
             for c, s in specs.items():
                 whole = f[c].dtype.kind == "i"
-                f[c] = [int(x) + int(draw(s)) if whole else float(Fraction(float(x)) + draw(s)) for x in f[c]]
+                more = draw_block(s, len(f))
+                f[c] = [int(x) + int(y) if whole else float(Fraction(float(x)) + y) for x, y in zip(f[c], more, strict=True)]
             yield f
 
     return df.mapInPandas(run, T.StructType(df.schema.fields))

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 
-from quietframe.operators.noise import Noise, NoiseSpec, discrete_gaussian, discrete_laplace, draw, gap_weights, grid, inverse_cdf, noisy_prefix, uniform
+from quietframe.operators.noise import Noise, NoiseSpec, discrete_gaussian, discrete_laplace, discrete_laplace_block, draw, draw_block, gap_weights, grid, inverse_cdf, noisy_prefix, uniform
 
 
 def moments(draws):
@@ -27,6 +27,24 @@ def test_discrete_laplace():
     assert abs(draws.count(0) / n - p0) < 5 * math.sqrt(p0 / n)
 
 
+def test_discrete_laplace_block():
+    """The same distribution as one by one; huge terms go that way."""
+    for scale in (Fraction(3), Fraction(7, 2), Fraction(1, 3), Fraction(1 << 31, 3)):
+        n = 40_000
+        draws = np.array(discrete_laplace_block(scale, n), float)
+        a = math.exp(-1 / float(scale))
+        want = 2 * a / (1 - a) ** 2
+        assert len(draws) == n and abs(draws.mean()) < 5 * math.sqrt(want / n) and abs(draws.var() / want - 1) < 0.1
+        for k in (0, 1, -1, 2):
+            p = (1 - a) / (1 + a) * a ** abs(k)
+            assert abs((draws == k).mean() - p) < 5 * math.sqrt(p / n) + 1e-9
+    assert len(discrete_laplace_block(Fraction(1 << 60, 3), 5)) == 5
+    assert discrete_laplace_block(Fraction(0), 3) == [0, 0, 0]
+    spec = NoiseSpec(Noise.LAPLACE, Fraction(1, 3))
+    assert all((x / grid(spec)).denominator == 1 for x in draw_block(spec, 100))
+    assert draw_block(NoiseSpec(Noise.NONE, 0), 2) == [0, 0]
+
+
 def test_discrete_gaussian():
     n = 3000
     mean, var = moments([discrete_gaussian(Fraction(25, 4)) for _ in range(n)])

@@ -31,12 +31,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of an Arrow batch, unless the session says other than Spark's 10,000: texts and
+#: vectors are long, and each batch stands several times in JVM and Python memory.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ship the package and keep Arrow batches small; for all that reads whole texts."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return ship(spark)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and reread it: lineage ends
     there, lost executors cost nothing that was done, and Spark knows the size
     when it plans what comes next.  The shuffle files that led to the table are
     not needed again and go."""
-    spark = df.sparkSession
+    spark = prepare(df.sparkSession)
     path = scratch_path(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     try:
@@ -96,8 +109,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def open_fs(path: str):

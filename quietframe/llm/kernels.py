@@ -65,6 +65,20 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def regrouped(batches, most: int):
+    """The rows of batches with a column text, in batches of about `most` bytes of text."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.get_total_buffer_size()
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def row_slices(offsets: np.ndarray, most: int = 1 << 21):
     """Row ranges of about `most` bytes; a longer row stands alone."""
     i, n = 0, len(offsets) - 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import default_partitions, materialize, open_fs, pick, read_table, scratch_path, tokenizer_path, write_file
-from .kernels import text_buffers, trim
+from .kernels import regrouped, text_buffers, trim
 from .tokens import encoder
 
 MAGIC = b"QFSST001"
@@ -220,7 +220,7 @@ def write_tables(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = E
         part, k = TaskContext.get().partitionId(), 0
 
         def rows():
-            for b in batches:
+            for b in regrouped(batches, enc.BYTES):
                 data, off = text_buffers(b.column("text"))
                 doc_ids = b.column("doc_id").to_pylist()
                 for first, ids, at in enc.rows(data, off):

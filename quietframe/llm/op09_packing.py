@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pick, read_table, tokenizer_path
-from .kernels import text_buffers, trim
+from .kernels import regrouped, text_buffers, trim
 from .tokens import encoder
 
 LENGTH, END_ID = 2048, 1
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
             cols = list(zip(*((held[d][0], start, k, zlib.crc32(held[d][1][start : start + k].astype("<u4").tobytes()), len(held[d][1]), s, at) for d, start, k, s, at in pieces), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for b in batches:
+        for b in regrouped(batches, enc.BYTES):
             data, off = text_buffers(b.column("text"))
             doc_ids = b.column("doc_id").to_pylist()
             for first, ids, at in enc.rows(data, off):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_lookup
+from .common import drop_table, materialize, salted_lookup
 
 
 def _digest(e: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_lookup(large, ["u"], "v", least)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = materialize(small.distinct(), "edges")
+        last, e = e, materialize(small.distinct(), "edges")
+        drop_table(last)
         now = _digest(e)
         if now == before:
             break

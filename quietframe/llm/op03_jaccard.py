@@ -46,18 +46,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, materialize, pick, read_table, salted_lookup
+from .common import default_partitions, drop_table, materialize, pick, read_table, salted_lookup
 from .components import components
 from .kernels import LOWER, SPACE_WORD, U64, gram_hashes, mix, prefix_sums, row_slices, span_hashes, text_buffers, trim, words
 
 K, PERCENT = 5, 80
 RADIUS = 1 - PERCENT / 100
 #: Members of a cell that one task joins; n-grams in a chunk; counted n-grams in a bucket.
-CELL, CHUNK, BUCKET = 256, 1 << 19, 1 << 20
+CELL, CHUNK, BUCKET = 2048, 1 << 19, 1 << 20
 #: n-grams of members that one task holds; beyond these a cell is split as well.
 TOKENS = 1 << 21
 #: Members of a larger cell that one task holds against its pivots; pivots at first and at most.
-GROUP, PIVOTS, MOST_PIVOTS = 256, 16, 1024
+GROUP, PIVOTS, MOST_PIVOTS = 1024, 16, 1024
 #: A split by windows, or by n-grams, is taken if members go to so many cells at most, on
 #: average, and if it leaves at most so large a share of the pairs (sum of squared sizes).
 REPLICATES, PAIRS = 1.5, 0.5
@@ -130,8 +130,9 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
 
 
-def known_elsewhere(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, known): prefix n-grams of each document that another one's prefix has.
+def known_elsewhere(docs: DataFrame, buckets: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, known), and the tables it reads; known: how many prefix n-grams of the
+    document another one's prefix has.
     Tasks send each of their n-grams once; 32 bits in one of `buckets` stand for an
     n-gram, which can only make more of them known."""
 
@@ -209,7 +210,7 @@ def known_elsewhere(docs: DataFrame, buckets: int) -> DataFrame:
     reply = sent.where("bucket >= 0").select("bucket", "chunk", "toks", own.alias("own")).groupBy("bucket").applyInArrow(count, "bucket long, chunk long, own boolean, flags binary")
     flags = materialize(reply.where("own").select("bucket", "chunk", "flags"), "prefix-flags")
     mine = sent.where(own).select("bucket", "chunk", "ids", "counts").join(flags, ["bucket", "chunk"], "left")
-    return mine.groupBy("chunk").applyInArrow(gather, "doc_id long, known long").groupBy("doc_id").agg(F.sum("known").alias("known"))
+    return mine.groupBy("chunk").applyInArrow(gather, "doc_id long, known long").groupBy("doc_id").agg(F.sum("known").alias("known")), [sent, flags]
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -343,12 +344,18 @@ class Union:
         self.root[max(a, b)] = min(a, b)
         return a != b
 
+    def star(self) -> list[tuple[int, int]]:
+        """Each number that is not the least of its set, and the least."""
+        return [(i, r) for i in list(self.root) if (r := self.find(i)) != i]
+
 
 def _forest(sets: list[np.ndarray], ids: list[int]) -> list[tuple[int, int]]:
-    """Spanning links of the exact join of some sets."""
+    """Spanning links of the exact join of some sets: stars, which components() ends with."""
     lens = np.array([len(s) for s in sets], np.int64)
     at, u = np.nonzero(np.triu(_linked(_common(sets), lens, lens), 1)), Union()
-    return [(ids[i], ids[j]) for i, j in zip(*(x.tolist() for x in at), strict=True) if u.join(ids[i], ids[j])]
+    for i, j in zip(*(x.tolist() for x in at), strict=True):
+        u.join(ids[i], ids[j])
+    return u.star()
 
 
 def _links(rows: list[tuple[int, int]]) -> pa.Table:
@@ -393,16 +400,15 @@ def measure(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
         both = _common(x, y)
         d = (1 - both / (n[:, None] + k[None, :] - both)).astype(np.float32)
         at = np.nonzero(_linked(both, n, k))
-        links_, names_, links, merged = Union(), Union(), [], []
+        links, names_, merged = Union(), Union(), []
         own, labs = (labs == reps) & ~np.isin(reps, pivots), labs.copy()
         for i, j in zip(*(z.tolist() for z in at), strict=True):
-            if links_.join(int(reps[i]), int(pivots[j])):
-                links.append((int(reps[i]), int(pivots[j])))
+            links.join(int(reps[i]), int(pivots[j]))
             if own[i]:  # no one else has its name: it takes that of its first pivot
                 labs[i], own[i] = plabs[j], False
             elif names_.join(int(labs[i]), int(plabs[j])):
                 merged.append((int(labs[i]), int(plabs[j])))
-        out = {"cell": a.column("cell")[0].as_py(), "salt": a.column("salt")[0].as_py(), "width": a.column("width")[0].as_py(), "reps": reps.tobytes(), "labs": labs.tobytes(), "pivots": pivots.tobytes(), "plabs": plabs.tobytes(), "d": d.tobytes(), "links": np.array(links, np.int64).tobytes(), "merged": np.array(merged, np.int64).tobytes()}
+        out = {"cell": a.column("cell")[0].as_py(), "salt": a.column("salt")[0].as_py(), "width": a.column("width")[0].as_py(), "reps": reps.tobytes(), "labs": labs.tobytes(), "pivots": pivots.tobytes(), "plabs": plabs.tobytes(), "d": d.tobytes(), "links": np.array(links.star(), np.int64).tobytes(), "merged": np.array(merged, np.int64).tobytes()}
         return pa.table({c: pa.array([v], pa.int64() if c == "cell" else pa.int32() if c in ("salt", "width") else pa.binary()) for c, v in out.items()})
 
     return materialize(members.groupBy("cell", "salt").cogroup(pivots.groupBy("cell", "salt")).applyInArrow(run, _MEASURED), "jaccard-measured")
@@ -553,15 +559,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(default_partitions(spark), -(-int(total) // (3 * BUCKET)))
 
-    known = known_elsewhere(docs.where("doc_id is not null"), buckets)
+    known, used = known_elsewhere(docs.where("doc_id is not null"), buckets)
     least = lambda n: F.ceil(n * PERCENT / 100)
     extra = lambda n: F.greatest(F.lit(1), F.floor(n / 10))
     n = F.col("n")
     wanted = materialize(classes.where("node = rep").join(known, "doc_id").where(F.col("known") >= F.least(extra(n), extra(least(n)))).select("doc_id", "h1", "rep"), "jaccard-wanted")
+    for t in used:
+        drop_table(t)
     if wanted.count() * 24 <= 32 << 20:
         wanted = F.broadcast(wanted)
     chunks = materialize(whole_sets(docs, wanted), "jaccard-sets")
     sets = materialize(regions(chunks, buckets), "jaccard-regions")
+    drop_table(chunks)
 
     flat = sets.select("rep", F.explode("regions").alias("region"))
     pivots = flat.groupBy("region").agg(F.min(_prio("rep")).alias("p"), F.count("*").alias("k")).where("k > 1").select("region", F.col("p.rep").alias("cell"))

@@ -72,9 +72,9 @@ class Encoder:
     """ids of whole texts; the encodings of units are kept between calls."""
 
     #: Units kept between calls; with more, only those of the block at hand stay.
-    KEPT = 1_000_000
+    KEPT = 600_000
     #: Bytes of text whose units are told apart together, and that are put together at a time.
-    BYTES, SLICE = 1 << 24, 1 << 21
+    BYTES, SLICE = 1 << 23, 1 << 20
 
     def __init__(self, path: str):
         import os

@@ -141,7 +141,7 @@ def crowd(seed: int = 3) -> list[tuple[int, str]]:
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("limits", [(256, 256, 16, 1024), (8, 6, 4, 16)])
+@pytest.mark.parametrize("limits", [(2048, 1024, 16, 1024), (8, 6, 4, 16)])
 @pytest.mark.parametrize("make", [texts, crowd])
 def test_jaccard(spark, monkeypatch, limits, make):
     """With small cells the splits by pivots, windows and counts run as well."""

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietframe.llm import op02_langid, op03_jaccard, op05_decontaminate, op09_packing, op10_lines
-from quietframe.llm.common import fresh, materialize, read_table, salted_lookup, tokenizer_path
-from quietframe.runtime import ship
+from quietframe.llm.common import fresh, materialize, prepare, read_table, salted_lookup, tokenizer_path
 
 #: A text whose likeliest language has less than this calibrated probability goes.
 LEAST_SCORE = 0.5
@@ -24,7 +23,7 @@ def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or of no certain language go."""
-    ship(spark)
+    prepare(spark)
     model = op02_langid.train(docs)
     lang, score = (fresh(docs.columns, c) for c in ("_lang", "_score"))
     kept = op02_langid.predict(docs, model).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE))
@@ -40,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the text with the smallest doc_id stays (of several under that id
     the least by hash), once where it is repeated; texts without words or doc_id stay."""
-    ship(spark)
+    prepare(spark)
     found = op03_jaccard.jaccard_components(docs).where("component is not null").select("doc_id", "th", "component")
     found = materialize(found.groupBy("doc_id", "th", "component").count(), "near-duplicates")
     groups = found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
@@ -70,7 +69,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of the documents that are left."""
-    ship(spark)
+    prepare(spark)
     return op09_packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -13,9 +13,9 @@ when one changes at most a share SETTLED of all neighbours, however many it take
 A query starts at its own node's neighbours and expands the nearest ones not yet
 expanded, until all of its `beam` nearest are, so that they stay the same.  Then recall
 is measured: SAMPLE of the queries are held against all nodes, exactly; while their
-recall is below TARGET, the graph gets another round, the beam is doubled and all
-queries search again, up to a beam of all nodes.  Answers are scored anew in double
-precision on the original vectors.
+recall is below TARGET, the graph gets another round, the beam is doubled and the SAMPLE
+searches again, up to a beam of all nodes; with the beam that reaches it all queries do.
+Answers are scored anew in double precision on the original vectors.
 
 Bounds: directions are centred by CENTRE vectors, chosen by a hash of vec_id; MEET, LEAF
 and NEIGHBOURS bound what is compared in a round, never what takes part.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import default_partitions, drop_table, materialize, pick, read_table, salted_lookup
+from .common import default_partitions, drop_table, materialize, pick, prepare, read_table, salted_lookup
 from .kernels import U64, mix
 
 TOP, EVERY = 20, 20
@@ -61,15 +61,44 @@ _SEARCH = "part long, q binary, qid binary, qvec binary, ids binary, sims binary
 _I64, _I32, _F32, _BIN, _U8 = np.int64, np.int32, np.float32, pa.binary(), np.uint8
 
 
-def vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part."""
+def _encoded(x: np.ndarray) -> np.ndarray:
+    """Floats as bytes that stand in the floats' order; both zeros are one."""
+    u = np.dtype(f"u{x.dtype.itemsize}")
+    top = u.type(1 << (8 * u.itemsize - 1))
+    bits = (x + x.dtype.type(0)).view(u)
+    return np.where(bits & top, ~bits, bits | top).astype(u.newbyteorder(">")).view(_U8)
+
+
+def _decoded(raw: np.ndarray, kind: str) -> np.ndarray:
+    u = np.dtype(f">u{np.dtype(kind).itemsize}")
+    bits = raw.view(u).astype(u.newbyteorder("="))
+    top = bits.dtype.type(1 << (8 * u.itemsize - 1))
+    return np.where(bits & top, bits ^ top, ~bits).view(kind)
+
+
+def vectors(table: DataFrame) -> tuple[DataFrame, str]:
+    """(vec_id, key) of the rows that take part, and what floats a key encodes."""
+    prepare(table.sparkSession)
     t = pick(table, "vec_id", "embedding").where("vec_id is not null and embedding is not null")
-    ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    t = t.where(ok)
-    sizes = t.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not sizes:
-        return t
-    return t.where(F.size("embedding") == sizes[0]["d"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    kind = "f4" if t.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
+    t = t.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>"))
+
+    def keep(batches):
+        for b in batches:
+            if b.num_rows:
+                lists = b.column("embedding")
+                x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), kind)
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                odd, some = (np.concatenate([[0], np.cumsum(m)])[ends] for m in (~np.isfinite(x), x != 0))
+                ok = pa.array((np.diff(odd) == 0) & (np.diff(some) > 0))
+                keys = pa.Array.from_buffers(_BIN, len(lists), [None, pa.py_buffer((ends * x.itemsize).astype(_I32)), pa.py_buffer(_encoded(x))])
+                yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (b.column("vec_id"), pa.array(np.diff(ends).astype(_I32)), keys)], names=["vec_id", "d", "key"])
+
+    t = materialize(t.mapInArrow(keep, "vec_id long, d int, key binary"), "ann-input")
+    sizes = t.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    out = materialize(t.where(F.col("d") == (sizes[0]["d"] if sizes else 0)).groupBy("vec_id").agg(F.min("key").alias("key")), "ann-vectors")
+    drop_table(t)
+    return out, kind
 
 
 # packed arrays
@@ -88,6 +117,19 @@ def _all(t: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype)
 
 
+def _flat(col: pa.Array, dtype) -> np.ndarray:
+    """A binary column's arrays, one after the other, without a copy."""
+    _, off, data = col.buffers()
+    at = np.frombuffer(off, _I32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(data, _U8)[at[0] : at[-1]].view(dtype) if len(col) else np.zeros(0, dtype)
+
+
+def _binary(m: np.ndarray) -> pa.Array:
+    """A binary column of the rows of `m`."""
+    at = np.arange(len(m) + 1, dtype=_I32) * _I32(m.shape[1] * m.itemsize)
+    return pa.Array.from_buffers(_BIN, len(m), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(m))])
+
+
 def _records(t, *names: str) -> Iterator[tuple]:
     return zip(*(t.column(n).to_pylist() for n in names), strict=True)
 
@@ -129,28 +171,102 @@ def _by_part(gids: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(p[x]), slice(x, y)
 
 
+def _pairs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, int, int, int] | None:
+    """One number for each pair, in the order of (u, v), the bits of v in it, and what was
+    taken off u and v; None where 62 bits don't hold it.  One key sorts far faster than two."""
+    if not len(u):
+        return np.zeros(0, _I64), 0, 0, 0
+    a, b = int(u.min()), int(v.min())
+    bits = (int(v.max()) - b).bit_length()
+    if (int(u.max()) - a).bit_length() + bits > 62:
+        return None
+    return (u.astype(_I64) - a) << bits | (v.astype(_I64) - b), bits, a, b
+
+
 def _once(u: np.ndarray, v: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """Places of each pair (u, v) once, in order; of equal ones that with the least `late`."""
-    o = np.lexsort((late, v, u))
-    return o[_starts(u[o], v[o])]
+    """Places of each pair (u, v) once, in order; of equal ones that with the least `late` (0 or 1)."""
+    if (p := _pairs(u, v)) is None:
+        o = np.lexsort((late, v, u))
+        return o[_starts(u[o], v[o])]
+    key = p[0] << 1 | late
+    o = np.argsort(key)
+    return o[_starts(key[o] >> 1)]
+
+
+def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair (u, v) once, in order."""
+    if (p := _pairs(u, v)) is None:
+        o = _once(u, v, np.zeros(len(u), _U8))
+        return u[o], v[o]
+    key, bits, a, b = p
+    key = np.sort(key)
+    key = key[_starts(key)]
+    return (key >> bits) + a, (key & ((1 << bits) - 1)) + b
+
+
+def _unseen(u: np.ndarray, v: np.ndarray, seen_u: np.ndarray, seen_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair (u, v) once that is none of the seen ones, by v, then u."""
+    late = np.concatenate([np.zeros(len(seen_u), _I64), np.ones(len(u), _I64)])
+    u, v = np.concatenate([seen_u, u]), np.concatenate([seen_v, v])
+    if (p := _pairs(v, u)) is None:
+        o = _once(v, u, late)
+        o = o[late[o] == 1]
+        return u[o], v[o]
+    key, bits, a, b = p
+    key = np.sort(key << 1 | late)
+    key = key[_starts(key >> 1)]
+    key = key[key & 1 == 1] >> 1
+    return (key & ((1 << bits) - 1)) + b, (key >> bits) + a
 
 
 def _nearest(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the k of greatest s of each u (least v first), by u, and their ranks."""
-    o = np.lexsort((v, -s, u))
+    if not len(u) or s.dtype != _F32 or int(u.max()) - int(u.min()) >= 1 << 31:
+        o = np.lexsort((v, -s, u))
+    else:
+        bits = (s + _F32(0)).view(np.uint32)
+        falling = np.where(bits >> 31, bits, ~bits & np.uint32(0x7FFFFFFF))
+        key = (u.astype(_I64) - int(u.min())) << 32 | falling
+        o = np.argsort(key)
+        key = key[o]
+        same = key[1:] == key[:-1]
+        if same.any():
+            at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+            o[at] = o[at][np.lexsort((v[o[at]], key[at]))]
     r = _rank(u[o])
     keep = r < k
     return o[keep], r[keep]
 
 
+def _top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the k greatest of each row and their values, greatest first.  Of so many
+    groups of columns the k-th greatest maximum is reached by k values at least: the others go."""
+    w = max(1, s.shape[1] // (4 * k))
+    g = s.shape[1] // w
+    most = s[:, : g * w].reshape(len(s), w, g).max(1)
+    if np.isnan(most).any():
+        return _top(np.where(np.isnan(s), _F32(-np.inf), s), k)
+    bar = np.partition(most, g - k, axis=1)[:, g - k]
+    at = np.flatnonzero(s >= bar[:, None])
+    row, col = np.divmod(at, s.shape[1])
+    val = s.ravel()[at]
+    o, _ = _nearest(row, col, val, k)
+    return col[o].reshape(-1, k), val[o].reshape(-1, k)
+
+
 def _lists(n: int, k: int, u: np.ndarray, v: np.ndarray, s: np.ndarray, flag: np.ndarray, late: np.ndarray):
     """n lists of the k nearest: ids (-1 where there are fewer), sims, flags, and how many are `late`."""
     o = _once(u, v, late)
-    u, v, s, flag, late = u[o], v[o], s[o], flag[o], late[o]
+    ids, sims, flags, kept = _filled(n, k, u[o], v[o], s[o], flag[o])
+    return ids, sims, flags, int(late[o][kept].sum())
+
+
+def _filled(n: int, k: int, u: np.ndarray, v: np.ndarray, s: np.ndarray, flag: np.ndarray):
+    """n lists of the k nearest of pairs that are there once, and the places of what they hold."""
     o, r = _nearest(u, v, s, k)
     ids, sims, flags = np.full((n, k), -1, _I64), np.full((n, k), -np.inf, _F32), np.zeros((n, k), _U8)
     ids[u[o], r], sims[u[o], r], flags[u[o], r] = v[o], s[o], flag[o]
-    return ids, sims, flags, int(late[o].sum())
+    return ids, sims, flags, o
 
 
 # nodes and the first graph
@@ -171,23 +287,21 @@ def _levels(size: int) -> int:
     return max(0, int(np.ceil(np.log2(max(1, size) / LEAF))))
 
 
-def nodes(vecs: DataFrame, dim: int, every: int) -> DataFrame:
+def nodes(distinct: DataFrame, size: int, dim: int, kind: str) -> DataFrame:
     """Parts of nodes: the least vec_id of each different vector, the vector as 4-byte
     floats, and whether it is asked for."""
-    chosen = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE).select("embedding").collect()  # a bounded sample
-    centre = np.mean(np.array([r[0] for r in chosen], float), 0).astype(_F32)
-    distinct = materialize(vecs.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.max(F.when(F.col("vec_id") % every == 0, 1).otherwise(0)).alias("asked")), "ann-distinct")
-    size = distinct.count()
+    chosen = distinct.orderBy(F.xxhash64("id"), "id").limit(CENTRE).select("key").collect()  # a bounded sample
+    centre = np.mean([_decoded(np.frombuffer(r[0], _U8), kind) for r in chosen], 0, dtype=float).astype(_F32)
     axes = _axes(dim, _levels(size) + 4, 0)
     per = min(1 << SHIFT, max(SMALL, -(-size // PARTS)))
-    n = max(1, min(default_partitions(vecs.sparkSession), size // per) if size < per * 4096 else size // (16 * per))
+    n = max(1, min(default_partitions(distinct.sparkSession), size // per) if size < per * 4096 else size // (16 * per))
 
     def project(batches):
         for b in batches:
             if b.num_rows:
-                flat = np.asarray(b.column("embedding").flatten().to_numpy(zero_copy_only=False), _F32).reshape(b.num_rows, -1)
+                flat = _decoded(_flat(b.column("key"), _U8), kind).astype(_F32).reshape(b.num_rows, -1)
                 code, p = _code(flat, centre, axes)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("asked"), pa.array([x.tobytes() for x in flat], _BIN), pa.array(code), pa.array(p)], names=["id", "asked", "vec", "code", "p"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("asked"), _binary(flat), pa.array(code), pa.array(p)], names=["id", "asked", "vec", "code", "p"])
 
     def cut(batches):
         from pyspark import TaskContext
@@ -205,7 +319,7 @@ def nodes(vecs: DataFrame, dim: int, every: int) -> DataFrame:
         if ids:
             yield from _table(_NODES, [(first + k, np.array(ids, _I64), b"".join(vecs_), np.array(asked, _U8))]).to_batches()
 
-    rows = distinct.select("id", "asked", "embedding").mapInArrow(project, "id long, asked int, vec binary, code long, p float")
+    rows = distinct.select("id", "asked", "key").mapInArrow(project, "id long, asked int, vec binary, code long, p float")
     parts = rows.repartitionByRange(n, "code", "p", "id").sortWithinPartitions("code", "p", "id").select("id", "asked", "vec").mapInArrow(cut, _NODES)
     return materialize(parts, "ann-nodes")
 
@@ -221,7 +335,7 @@ def first_graph(table: DataFrame, dim: int, size: int, k: int = NEIGHBOURS) -> D
     def project(b):
         for part, vec in _records(b, "part", "vec"):
             m = np.frombuffer(vec, _F32).reshape(-1, dim)
-            gid, raw = part << SHIFT | np.arange(len(m)), pa.array([x.tobytes() for x in m], _BIN)
+            gid, raw = part << SHIFT | np.arange(len(m)), _binary(m)
             for t in range(trees):
                 code, p = _code(m, centre, _axes(dim, levels, t))
                 yield pa.table({"tree": pa.array(np.full(len(m), t, _I32)), "code": pa.array(code), "p": pa.array(p), "gid": pa.array(gid), "vec": raw})
@@ -235,25 +349,31 @@ def first_graph(table: DataFrame, dim: int, size: int, k: int = NEIGHBOURS) -> D
             s = m[x : x + 512] @ m.T
             i = np.arange(len(s))
             s[i, x + i] = -np.inf
-            near = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-            ids[x : x + len(s), :kk], sims[x : x + len(s), :kk] = gid[near], np.take_along_axis(s, near, 1)
+            near, far = _top(s, kk)
+            ids[x : x + len(s), :kk], sims[x : x + len(s), :kk] = gid[near], far
         return _table("part long, u binary, ids binary, sims binary", [(p, (gid[at] & _LOCAL).astype(_I32), ids[at], sims[at]) for p, at in _by_part(gid)])
 
     def leaves(batches):
-        tree, gids, vecs = -1, [], []
+        tree, held, gids, vecs = -1, 0, [], []
 
         def flush():
-            return leaf(np.array(gids, _I64), np.frombuffer(b"".join(vecs), _F32).reshape(-1, dim)).to_batches()
+            return leaf(np.concatenate(gids), np.concatenate(vecs)).to_batches()
 
         for b in batches:
-            for t, g, v in _records(b, "tree", "gid", "vec"):
-                if gids and (t != tree or len(gids) == LEAF):
-                    yield from flush()
-                    gids, vecs = [], []
-                tree = t
-                gids.append(g)
-                vecs.append(v)
-        if gids:
+            if not b.num_rows:
+                continue
+            t, g, v = b.column("tree").to_numpy(), b.column("gid").to_numpy(), _flat(b.column("vec"), _F32).reshape(-1, dim)
+            at = [*_starts(t).tolist(), len(t)]
+            for x, end in zip(at, at[1:]):
+                while x < end:
+                    if held and (t[x] != tree or held == LEAF):
+                        yield from flush()
+                        held, gids, vecs = 0, [], []
+                    tree, y = t[x], min(end, x + LEAF - held)
+                    gids.append(g[x:y])
+                    vecs.append(v[x:y])
+                    held, x = held + y - x, y
+        if held:
             yield from flush()
 
     def start(t: pa.Table, lists: pa.Table) -> pa.Table:
@@ -301,8 +421,16 @@ def _chosen(part: int, ids: np.ndarray, fresh: np.ndarray, seed: int, meet: int)
 
 def _limited(at: np.ndarray, who: np.ndarray, new: np.ndarray, draw: np.ndarray, meet: int) -> np.ndarray:
     """Places, by `at`, of at most `meet` new and as many old ones for each."""
-    o = np.lexsort((draw, new, at))
-    return o[_rank(at[o], new[o]) < meet]
+    if (p := _pairs(at, new)) is None:
+        o = np.lexsort((draw, new, at))
+        return o[_rank(at[o], new[o]) < meet]
+    key = p[0]
+    o = np.argsort(key)
+    r, n = _rank(key[o]), np.diff(np.append(_starts(key[o]), len(o)))
+    over = np.repeat(n > meet, n)  # only there draws tell
+    if over.any():
+        o[over] = o[over][np.lexsort((draw[o[over]], key[o[over]]))]
+    return o[r < meet]
 
 
 def descend(state: DataFrame, dim: int, seed: int, k: int = NEIGHBOURS, meet: int = MEET) -> DataFrame:
@@ -357,9 +485,9 @@ def descend(state: DataFrame, dim: int, seed: int, k: int = NEIGHBOURS, meet: in
             return _table(out, [])
         at, who, new = _all(met, "at", _I32), _all(met, "who", _I64), _all(met, "new", _U8).astype(bool)
         w, vec = _all(served, "who", _I64), _all(served, "vec", _F32).reshape(-1, dim)
-        worst = np.append(_all(served, "worst", _F32), np.float32(np.inf))
-        vec, order = np.concatenate([vec, np.zeros((1, dim), _F32)]), np.argsort(w)
-        place = order[np.searchsorted(w[order], who)]
+        order = np.argsort(w)
+        w, worst = w[order], np.append(_all(served, "worst", _F32)[order], np.float32(np.inf))
+        vec, place = np.concatenate([vec[order], np.zeros((1, dim), _F32)]), np.searchsorted(w, who)
         s, r = _starts(at), _rank(at)
         row = np.repeat(np.arange(len(s)), np.diff(np.append(s, len(at))))
         got = []
@@ -376,12 +504,12 @@ def descend(state: DataFrame, dim: int, seed: int, k: int = NEIGHBOURS, meet: in
             a, b_, c = idx[m, i], idx[m, j], sim[m, i, j]
             for x_, y_ in ((a, b_), (b_, a)):
                 near = c > worst[x_]
-                got.append((w[x_[near]], w[y_[near]], c[near]))
+                got.append((x_[near], y_[near], c[near]))
         u, v, c = (np.concatenate(z) for z in zip(*got, strict=True)) if got else (np.zeros(0, _I64), np.zeros(0, _I64), np.zeros(0, _F32))
         o = _once(u, v, np.zeros(len(u), _U8))
         u, v, c = u[o], v[o], c[o]
         o, _ = _nearest(u, v, c, k)
-        u, v, c = u[o], v[o], c[o]
+        u, v, c = w[u[o]], w[v[o]], c[o]
         return _table(out, [(p, (u[at_] & _LOCAL).astype(_I32), v[at_], c[at_].astype(_F32)) for p, at_ in _by_part(u)])
 
     def merge(t: pa.Table, told: pa.Table) -> pa.Table:
@@ -458,9 +586,8 @@ def step(found: DataFrame, state: DataFrame, dim: int, beam: int, k: int = NEIGH
         for part, ids, done in _records(b, "part", "ids", "done"):
             ids = np.frombuffer(ids, _I64).reshape(-1, beam)
             mask = _frontier(ids, np.frombuffer(done, _U8).reshape(-1, beam))
-            qi, node = np.nonzero(mask)[0], ids[mask]
-            o = np.argsort(node, kind="stable")
-            qi, node = qi[o].astype(_I32), node[o]
+            node, qi = _distinct(ids[mask], np.nonzero(mask)[0])
+            qi = qi.astype(_I32)
             rows += [(p, part, qi[at], (node[at] & _LOCAL).astype(_I32)) for p, at in _by_part(node)]
         yield _table("part long, back long, qi binary, node binary", rows)
 
@@ -471,29 +598,26 @@ def step(found: DataFrame, state: DataFrame, dim: int, beam: int, k: int = NEIGH
             for back, qi, node in _records(asks, "back", "qi", "node"):
                 c = lists[np.frombuffer(node, _I32)]
                 qi = np.repeat(np.frombuffer(qi, _I32), k)[c.ravel() >= 0]
-                c = c[c >= 0]
-                o = _once(qi, c, np.zeros(len(c), _U8))
-                rows.append((back, qi[o], c[o]))
+                qi, c = _distinct(qi, c[c >= 0])
+                rows.append((back, qi.astype(_I32), c))
         return _table(pairs, rows)
 
     def gather(t: pa.Table, told: pa.Table) -> pa.Table:
-        """New candidates of each search, and its vector, to the candidates' parts."""
-        out = "part long, back long, qi binary, c binary, uq binary, qvec binary"
+        """New candidates of each search, its vector and what they must reach, to the candidates' parts."""
+        out = "part long, back long, qi binary, c binary, uq binary, qvec binary, bar binary"
         if not told.num_rows:
             return _table(out, [])
-        part, q, qvec, ids = next(_records(t, "part", "q", "qvec", "ids"))
+        part, q, qvec, ids, sims = next(_records(t, "part", "q", "qvec", "ids", "sims"))
         q, qvec, ids = np.frombuffer(q, _I64), np.frombuffer(qvec, _F32).reshape(-1, dim), np.frombuffer(ids, _I64).reshape(-1, beam)
-        ok = ids >= 0
+        bar, ok = np.frombuffer(sims, _F32).reshape(-1, beam)[:, -1], ids >= 0
         qi, c = _all(told, "qi", _I32).astype(_I64), _all(told, "c", _I64)
-        u, v = np.concatenate([np.nonzero(ok)[0], np.arange(len(q)), qi]), np.concatenate([ids[ok], q, c])
-        late = np.concatenate([np.zeros(len(u) - len(qi), _U8), np.ones(len(qi), _U8)])
-        o = _once(u, v, late)
-        o = o[late[o] == 1]
-        o = o[np.argsort(v[o], kind="stable")]
-        qi, c, rows = u[o].astype(_I32), v[o], []
+        qi, c = _unseen(qi, c, np.concatenate([np.nonzero(ok)[0], np.arange(len(q))]), np.concatenate([ids[ok], q]))
+        rows = []
         for p, at in _by_part(c):
-            uq, place = np.unique(qi[at], return_inverse=True)
-            rows.append((p, part, place.astype(_I32), (c[at] & _LOCAL).astype(_I32), uq, qvec[uq]))
+            here = np.zeros(len(q), _I64)
+            here[qi[at]] = 1
+            uq, place = np.flatnonzero(here), (np.cumsum(here) - 1)[qi[at]]
+            rows.append((p, part, place.astype(_I32), (c[at] & _LOCAL).astype(_I32), uq.astype(_I32), qvec[uq], bar[uq]))
         return _table(out, rows)
 
     def score(t: pa.Table, asks: pa.Table) -> pa.Table:
@@ -501,11 +625,13 @@ def step(found: DataFrame, state: DataFrame, dim: int, beam: int, k: int = NEIGH
         if asks.num_rows:
             part, vec = next(_records(t, "part", "vec"))
             vec = np.frombuffer(vec, _F32).reshape(-1, dim)
-            for back, place, c, uq, qvec in _records(asks, "back", "qi", "c", "uq", "qvec"):
+            for back, place, c, uq, qvec, bar in _records(asks, "back", "qi", "c", "uq", "qvec", "bar"):
                 place, c, uq = np.frombuffer(place, _I32), np.frombuffer(c, _I32), np.frombuffer(uq, _I32)
                 qvec = np.frombuffer(qvec, _F32).reshape(-1, dim)
-                s = np.concatenate([np.einsum("ij,ij->i", qvec[place[x : x + 65536]], vec[c[x : x + 65536]]) for x in range(0, len(c), 65536)])
-                o, _ = _nearest(place, c, s, beam)
+                s = np.concatenate([np.einsum("ij,ij->i", qvec[place[x : x + 2048]], vec[c[x : x + 2048]]) for x in range(0, len(c), 2048)])
+                o = np.flatnonzero(s >= np.frombuffer(bar, _F32)[place])
+                if len(o) and np.bincount(place[o]).max() > beam:
+                    o = o[_nearest(place[o], c[o], s[o], beam)[0]]
                 rows.append((back, uq[place[o]], c[o].astype(_I64) + (part << SHIFT), s[o].astype(_F32)))
         return _table(pairs + ", s binary", rows)
 
@@ -517,28 +643,31 @@ def step(found: DataFrame, state: DataFrame, dim: int, beam: int, k: int = NEIGH
         qi, c, s = _all(told, "qi", _I32).astype(_I64), _all(told, "c", _I64), _all(told, "s", _F32)
         zero = np.zeros(len(qi), _U8)
         u, v, flag = np.concatenate([np.nonzero(ok)[0], qi]), np.concatenate([ids[ok], c]), np.concatenate([done[ok], zero])
-        ids, sims, done, _ = _lists(len(ids), beam, u, v, np.concatenate([sims[ok], s]), flag, np.zeros(len(u), _U8))
+        ids, sims, done = _filled(len(ids), beam, u, v, np.concatenate([sims[ok], s]), flag)[:3]  # told are none of the ids
         return _table(_SEARCH, [(part, q, qid, qvec, ids, sims, done, int(((ids >= 0) & (done == 0)).sum()))])
 
     asks = _map(found.select("part", "ids", "done"), ask, "part long, back long, qi binary, node binary")
     told = _join(state.select("part", "ids"), asks, expand, pairs)
-    wanted = _join(found.select("part", "q", "qvec", "ids"), told, gather, "part long, back long, qi binary, c binary, uq binary, qvec binary")
+    wanted = _join(found.select("part", "q", "qvec", "ids", "sims"), told, gather, "part long, back long, qi binary, c binary, uq binary, qvec binary, bar binary")
     scored = _join(state.select("part", "vec"), wanted, score, pairs + ", s binary")
     return materialize(_join(found, scored, absorb, _SEARCH), "ann-search")
 
 
-def search(state: DataFrame, dim: int, beam: int = BEAM) -> DataFrame:
-    """Greedy search for all nodes that are asked for: `beam` nearest found, nearest first."""
-    found = begin(state, dim, beam)
+def settle(found: DataFrame, state: DataFrame, dim: int, beam: int) -> DataFrame:
+    """Steps until nothing is left to expand."""
     while (found.agg(F.sum("todo")).first()[0] or 0) > 0:  # a node is expanded once for a query at most
         before, found = found, step(found, state, dim, beam)
         drop_table(before)
     return found
 
 
-def recall(found: DataFrame, state: DataFrame, dim: int, beam: int, top: int = TOP) -> float:
-    """Share of the `top` nearest nodes that the searches of SAMPLE queries, chosen by a
-    hash, have found; these queries are held against all nodes."""
+def search(state: DataFrame, dim: int, beam: int = BEAM) -> DataFrame:
+    """Greedy search for all nodes that are asked for: `beam` nearest found, nearest first."""
+    return settle(begin(state, dim, beam), state, dim, beam)
+
+
+def sample(found: DataFrame, dim: int, beam: int, top: int = TOP) -> list:
+    """SAMPLE of the searches, chosen by a hash: node, vector and `top` nearest found."""
 
     def choose(batches):
         best: list[tuple] = []
@@ -550,7 +679,22 @@ def recall(found: DataFrame, state: DataFrame, dim: int, beam: int, top: int = T
                 best = sorted(best, key=lambda x: x[0])[:SAMPLE]
         yield from _table("h long, q long, qvec binary, ids binary", best).to_batches()
 
-    rows = found.select("q", "qvec", "ids").mapInArrow(choose, "h long, q long, qvec binary, ids binary").orderBy("h", "q").limit(SAMPLE).collect()
+    return found.select("q", "qvec", "ids").mapInArrow(choose, "h long, q long, qvec binary, ids binary").orderBy("h", "q").limit(SAMPLE).collect()
+
+
+def asking(state: DataFrame, only: list[int]) -> DataFrame:
+    """`state`, where just these nodes, SAMPLE at most, are asked for."""
+    masks: dict[int, np.ndarray] = {}
+    for q in only:
+        masks.setdefault(q >> SHIFT, np.zeros(1 << SHIFT, _U8))[q & _LOCAL] = 1
+    few = state.sparkSession.createDataFrame([(p, bytearray(m.tobytes())) for p, m in masks.items()], "part long, asked binary")
+    return state.drop("asked").join(F.broadcast(few), "part", "left").withColumn("asked", F.coalesce("asked", F.lit(bytearray())))
+
+
+def recall(found: DataFrame, state: DataFrame, dim: int, beam: int, top: int = TOP) -> float:
+    """Share of the `top` nearest nodes that the searches of sample() have found; these
+    queries are held against all nodes."""
+    rows = sample(found, dim, beam, top)
     if not rows:
         return 1.0
     qs, m = np.array([r["q"] for r in rows], _I64), np.stack([np.frombuffer(r["qvec"], _F32) for r in rows])
@@ -566,9 +710,9 @@ def recall(found: DataFrame, state: DataFrame, dim: int, beam: int, top: int = T
                 sim = m @ vec.T
                 sim[qs[:, None] == gid[None, :]] = -np.inf
                 kk = min(top, len(vec))
-                at = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
+                at, far = _top(sim, kk)
                 u = np.concatenate([u, np.repeat(np.arange(len(qs)), kk)])
-                v, s = np.concatenate([v, gid[at].ravel()]), np.concatenate([s, np.take_along_axis(sim, at, 1).ravel()])
+                v, s = np.concatenate([v, gid[at].ravel()]), np.concatenate([s, far.ravel()])
                 o, _ = _nearest(u, v, s, top)
                 u, v, s = u[o], v[o], s[o]
         at = [*_starts(u).tolist(), len(u)]
@@ -606,34 +750,50 @@ def answers(found: DataFrame, state: DataFrame, beam: int, most: int = FINAL) ->
 
 def nearest(table: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id `every` divides."""
-    vecs = materialize(vectors(table), "ann-vectors")
-    head = vecs.select(F.size("embedding")).first()
+    vecs, kind = vectors(table)
+    head = vecs.select(F.octet_length("key")).first()
     if head is None:
         return vecs.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = head[0]
-    byvec = Window.partitionBy("embedding").orderBy("vec_id")
+    dim = head[0] // np.dtype(kind).itemsize
+    asked = F.max(F.when(F.col("vec_id") % every == 0, 1).otherwise(0)).alias("asked")
+    distinct = materialize(vecs.groupBy("key").agg(F.min("vec_id").alias("id"), asked, F.count("*").alias("copies")), "ann-distinct")
+    size = distinct.count()
     # The first of equal vectors stand for all: a query has at most `top` of them besides itself.
-    members = materialize(vecs.withColumn("nth", F.row_number().over(byvec)).where(F.col("nth") <= top + 1).select("vec_id", "nth", "embedding"), "ann-members")
-    ids = members.where("nth = 1").select(F.col("vec_id").alias("id"), "embedding")
-    member_of = members.join(ids, "embedding").select("id", F.col("vec_id").alias("member"), "embedding")
-    node = nodes(vecs, dim, every)
-    size = int(node.agg(F.sum(F.octet_length("own"))).first()[0]) // 8
+    byvec = Window.partitionBy("key").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nth = vecs.select("vec_id", F.row_number().over(Window.partitionBy("key").orderBy("vec_id")).alias("nth"), F.min("vec_id").over(byvec).alias("other"))
+    members = materialize(nth.where(F.col("nth") <= top + 1).select("other", F.col("vec_id").alias("member")), "ann-members")
+    node = nodes(distinct, size, dim, kind)
     state, beam, r = neighbour_graph(node, dim, size), max(BEAM, 2 * top), 1 << 20
-    while True:
-        found = search(state, dim, beam)
-        if beam >= size or recall(found, state, dim, beam, min(top, size - 1)) >= TARGET:
-            break
-        before, state = state, descend(state, dim, r)
+    found = search(state, dim, beam)
+    if beam < size and recall(found, state, dim, beam, min(top, size - 1)) < TARGET:
+        only, wide = [x["q"] for x in sample(found, dim, beam)], False
         drop_table(found)
-        drop_table(before)
-        beam, r = 2 * beam, r + 1
-    queries = salted_lookup(vecs.where(F.col("vec_id") % every == 0), ["embedding"], "vec_id", ids.select("embedding", "id")).select(F.col("vec_id").alias("query_id"), "id")
-    queries = materialize(queries, "ann-queries")
+        while not wide:
+            before, state = state, descend(state, dim, r)
+            drop_table(before)
+            beam, r = 2 * beam, r + 1
+            few = search(asking(state, only), dim, beam)
+            wide = beam >= size or recall(few, state, dim, beam, min(top, size - 1)) >= TARGET
+            drop_table(few)
+        found = settle(begin(state, dim, beam), state, dim, beam)
+    # A vector without copies is its own node.
+    queries = salted_lookup(vecs.where(F.col("vec_id") % every == 0), ["key"], "vec_id", distinct.where("copies > 1").select("key", "id"))
+    queries = materialize(queries.select(F.col("vec_id").alias("query_id"), F.coalesce("id", "vec_id").alias("id")), "ann-queries")
     own = queries.select("id").distinct()
     near = materialize(answers(found, state, beam, max(FINAL, 2 * top)).union(own.select("id", "id")), "ann-answers")
-    near = near.join(member_of.select(F.col("id").alias("other"), "member", "embedding"), "other").join(ids.select("id", F.col("embedding").alias("qe")), "id")
-    dot = F.aggregate(F.zip_with("embedding", "qe", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = near.select("id", "member", dot.alias("score"))
+    near = near.join(distinct.select(F.col("id").alias("other"), F.col("key").alias("a")), "other").join(distinct.where("asked = 1").select("id", F.col("key").alias("b")), "id")
+
+    def score(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.ascontiguousarray(_decoded(_flat(b.column(n), _U8), kind).reshape(b.num_rows, -1).T, float) for n in ("a", "b"))
+                s = np.zeros(b.num_rows)
+                for i in range(len(x)):  # in the order of components: equal vectors have equal scores
+                    s += x[i] * y[i]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("other"), pa.array(s)], names=["id", "other", "score"])
+
+    scored = near.select("id", "other", "a", "b").mapInArrow(score, "id long, other long, score double")
+    scored = scored.join(members, "other").select("id", "member", "score")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "member")
     best = scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top + 1)
     lists = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", "member", "score"))).alias("near"))

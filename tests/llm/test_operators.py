@@ -310,6 +310,39 @@ def test_ann_searches_again_until_recall_is_reached(spark, monkeypatch):
     assert beams == [128, 256, 512]
 
 
+def test_ann_widens_the_beam_on_the_sample(spark, monkeypatch):
+    """Not all queries search again for each beam, but all have their answers."""
+    r = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)]) for i in range(300)], "vec_id long, embedding array<double>")
+    asked, measured, search = [], iter([0.5, 0.96]), op04_ann.search
+
+    def spy(state, dim, beam):
+        asked.append(sum(sum(x["asked"]) for x in state.select("asked").collect()))
+        return search(state, dim, beam)
+
+    monkeypatch.setattr(op04_ann, "SAMPLE", 4)
+    monkeypatch.setattr(op04_ann, "search", spy)
+    monkeypatch.setattr(op04_ann, "recall", lambda *a: next(measured))
+    got = op04_ann.nearest(df).collect()
+    assert asked == [15, 4]
+    assert {x["query_id"] for x in got} == set(range(0, 300, 20)) and len(got) == 15 * 20
+
+
+def test_ann_sorts_by_one_key():
+    r = np.random.default_rng(10)
+    u, v, s = r.integers(0, 9, 3000), r.integers(1 << 40, (1 << 40) + 500, 3000), np.round(r.normal(size=3000), 1).astype(np.float32)
+    o = np.lexsort((v, -s, u))
+    first = [o[u[o] == x][:7] for x in range(9)]
+    assert op04_ann._nearest(u, v, s, 7)[0].tolist() == np.concatenate(first).tolist()
+    new = op04_ann._unseen(u[:900], v[:900], u[900:], v[900:])
+    assert list(zip(new[1].tolist(), new[0].tolist())) == sorted(set(zip(v[:900].tolist(), u[:900].tolist())) - set(zip(v[900:].tolist(), u[900:].tolist())))
+    m = r.normal(size=(5, 400)).astype(np.float32)
+    assert op04_ann._top(m, 20)[0].tolist() == np.argsort(-m, axis=1)[:, :20].tolist()
+    x = np.array([-3e38, -1, -1e-30, -0.0, 1e-30, 2], np.float32)
+    keys = op04_ann._encoded(x).reshape(6, 4)
+    assert [bytes(k) for k in keys] == sorted(bytes(k) for k in keys) and (op04_ann._decoded(keys.ravel(), "f4") == x).all()
+
+
 def test_decontaminate(spark, monkeypatch):
     rows = texts(5)
     passage = " ".join(dict(rows)[45].split()[:30])

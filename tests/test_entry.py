@@ -59,3 +59,31 @@ def test_oracle(spark, name):
     got = own.QUERIES[name](spark, SMALL)
     assert sorted(got.columns) == sorted(cols)
     assert sorted(map(repr, (tuple(x[k] for k in cols) for x in got.collect()))) == sorted(map(repr, want))
+
+
+def made_rows(plan) -> list[int]:
+    """Rows that each operator of a plan that ran has made, below its stages too."""
+    name = plan.nodeName()
+    inner = "plan" if name.endswith("QueryStage") else {"AdaptiveSparkPlan": "executedPlan", "ReusedExchange": "child"}.get(name)
+    out = [plan.metrics().apply("numOutputRows").value()] if plan.metrics().contains("numOutputRows") else []
+    children = [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    return out + [n for c in children for n in made_rows(c)]
+
+
+def test_no_join_grows_with_the_square(spark, tmp_path):
+    """join_private_drop_excess over nations of 2,000 customers and 2,000 suppliers: no operator makes more rows than the tables have."""
+    n, c = 2000, duckdb.connect()
+    few = "UNION ALL SELECT 2, 'x' UNION ALL SELECT 3, 'x' UNION ALL SELECT NULL, 'x'"  # nation 2: one of each; 3 and 4: no partner; no nation
+    parts = {
+        "nation": "SELECT i::INT AS n_nationkey, 'n' || i AS n_name FROM range(6) t(i)",
+        "customer": f"SELECT k::INT AS c_nationkey, b::DOUBLE AS c_acctbal FROM (SELECT i % 2 AS k, i AS b FROM range({2 * n}) t(i) {few.replace("'x'", '1')})",
+        "supplier": f"SELECT k::INT AS s_nationkey, b AS s_name FROM (SELECT i % 2 AS k, 's' || i AS b FROM range({2 * n}) t(i) {few.replace('SELECT 3', 'SELECT 4')})",
+    }
+    for t, sql in parts.items():
+        c.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = own.QUERIES["join_private_drop_excess"](spark, str(tmp_path)).select("n_name", "count")
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(c.execute(f"SELECT n_name, count FROM ({own.ORACLE['join_private_drop_excess']})").fetchall()) == [("n0", 6), ("n1", 6), ("n2", 1)]
+    rows = made_rows(df._jdf.queryExecution().executedPlan())
+    assert 2 * n <= max(rows) <= 2 * n + 3, rows
